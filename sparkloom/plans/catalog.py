@@ -1,4 +1,8 @@
-"""Names of the queries, with the SQL that gives the same rows."""
+"""Names of all queries of this library's own operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from sparkloom.plans import associations, records
+
+QUERIES: dict = associations.QUERIES | records.QUERIES
+SQL: dict[str, str] = associations.SQL | records.SQL
