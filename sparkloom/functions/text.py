@@ -47,7 +47,10 @@ def normal_date(text: Column) -> Column:
     trimmed = F.trim(text)
     iso = F.when(trimmed.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substr(trimmed, F.lit(1), F.lit(10)))
     shapes = {"dd/MM/yy": r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$", "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$", "MMMM d, yyyy": r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"}
-    tried = [F.when(trimmed.rlike(shapes[f]), F.date_format(F.try_to_timestamp(trimmed, F.lit(f)), "yyyy-MM-dd")) for f in DATE_FORMATS]
+    # two digits from 69 on are of the last century
+    full = F.concat(F.substr(trimmed, F.lit(1), F.lit(6)), F.when(F.substr(trimmed, F.lit(7)) >= "69", "19").otherwise("20"), F.substr(trimmed, F.lit(7)))
+    read = {"dd/MM/yy": (full, "dd/MM/yyyy")}
+    tried = [F.when(trimmed.rlike(shapes[f]), F.date_format(F.try_to_timestamp(read.get(f, (trimmed, f))[0], F.lit(read.get(f, (trimmed, f))[1])), "yyyy-MM-dd")) for f in DATE_FORMATS]
     return F.when(trimmed == "", None).otherwise(F.coalesce(iso, *tried, text))
 
 

@@ -76,9 +76,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of mean ranks."""
 
     def ranks(c: str) -> DataFrame:
-        at = df.groupBy(c).agg(F.count("*").alias("n"))
+        at = df.groupBy(c).agg(F.count("*").alias("__n"))
         below = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return at.select(c, (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        return at.select(c, (F.coalesce(F.sum("__n").over(below), F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
 
     return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import associations, records
+from sparkloom.plans import associations, records, spaces
 
-QUERIES: dict = associations.QUERIES | records.QUERIES
-SQL: dict[str, str] = associations.SQL | records.SQL
+QUERIES: dict = associations.QUERIES | records.QUERIES | spaces.QUERIES
+SQL: dict[str, str] = associations.SQL | records.SQL | spaces.SQL
