@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         sums = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for x in (now, after)]
         now = after
         if tuple(sums[0]) == tuple(sums[1]):
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def families(members: DataFrame, group: str, member: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,7 +80,7 @@ def randomized_svd(cells: DataFrame, row: str, column: str, value: str, rank: in
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(names), wide)))[0]
 
     def times(right: np.ndarray) -> DataFrame:
-        side = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in zip(names, right, strict=True)], cells.select(column).schema.add("__q", "array<double>"))
+        side = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in zip(names, right, strict=True)], cells.select(column).schema.add("__q", T.ArrayType(T.DoubleType())))
         scaled = cells.join(F.broadcast(side), column).select(row, F.posexplode("__q").alias("k", "x"), value)
         return scaled.groupBy(row, "k").agg(F.sum(F.col("x") * F.col(value)).alias("y"))
 

@@ -1,0 +1,38 @@
+"""Every query with SQL gives the same rows as DuckDB; the plans have the shape that scales."""
+
+import pytest
+
+from sparkloom.plans import catalog
+from tests.oracle import difference
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_same_rows_as_sql(spark, name):
+    assert difference(catalog.QUERIES[name](spark, SMALL), catalog.SQL[name], SMALL) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"two_key_dedup"}))
+def test_runs_without_sql(spark, name):
+    assert catalog.QUERIES[name](spark, SMALL).count() > 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_are_pruned(spark):
+    shown = plan(catalog.QUERIES["ppmi_top_partners"](spark, SMALL))
+    assert "l_extendedprice" not in shown and "CartesianProduct" not in shown
+
+
+def test_top_k_is_limited_before_the_exchange(spark):
+    assert "WindowGroupLimit" in plan(catalog.QUERIES["popularity_by_key"](spark, SMALL))
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.SQL) <= set(__spark_entry__.oracle_sql())
