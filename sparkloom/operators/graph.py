@@ -15,7 +15,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     node, written to the shared folder, so lineage stays short; rounds grow with the log of the longest path.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    def trace(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
     now = shared_table(now.distinct(), "component-edges")
+    seen = trace(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,10 +29,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = down.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = shared_table(small, "component-edges")
-        # equal edge sets: nothing moved
-        sums = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for x in (now, after)]
-        now = after
-        if tuple(sums[0]) == tuple(sums[1]):
+        now, before, seen = after, seen, trace(after)
+        if seen == before:  # nothing moved
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 

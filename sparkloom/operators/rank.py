@@ -88,3 +88,39 @@ def label_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
     both = df.select(F.explode(F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g"), (F.col(truth) == F.col(guess)).cast("int").alias("b")), F.struct(F.col(guess).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g"), F.lit(0).alias("b")))).alias("e"))
     per = both.groupBy("e.label").agg(F.sum("e.t").alias("t"), F.sum("e.g").alias("g"), F.sum("e.b").alias("b"))
     return per.select("label", F.when(F.col("t") + F.col("g") == 0, 0.0).otherwise(2 * F.col("b") / (F.col("t") + F.col("g"))).alias("f1"))
+
+
+def seed_summary(per_seed: DataFrame, dims: list[str], value: str) -> DataFrame:
+    """dims, n, mean, sd (null for one seed), shown ('mean ± sd')."""
+    out = per_seed.groupBy(*dims).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return out.withColumn("shown", F.when(F.col("n") >= 3, F.format_string("%.4f ± %.4f", "mean", "sd")))
+
+
+#: 0.975 quantiles of Student's t by degrees of freedom, 2 to 10.
+T_975 = (4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139)
+
+
+def paired_difference(per_seed: DataFrame, dims: list[str], seed: str, variant: str, value: str, first: str, second: str) -> DataFrame:
+    """dims, n, difference, low, high: second minus first seed by seed with a 95 % interval; three to eleven seeds."""
+    wide = per_seed.groupBy(*dims, seed).agg(F.max(F.when(F.col(variant) == first, F.col(value))).alias("a"), F.max(F.when(F.col(variant) == second, F.col(value))).alias("b")).where("a is not null and b is not null")
+    per = wide.groupBy(*dims).agg(F.count("*").alias("n"), F.avg(F.col("b") - F.col("a")).alias("difference"), F.stddev_samp(F.col("b") - F.col("a")).alias("sd")).where("n >= 3")
+    half = F.get(F.array(*map(F.lit, T_975)), (F.col("n") - 3).cast("int")) * F.col("sd") / F.sqrt("n")
+    return per.select(*dims, "n", "difference", (F.col("difference") - half).alias("low"), (F.col("difference") + half).alias("high"))
+
+
+def assessment(low: Column, high: Column, margin: float) -> Column:
+    """What an interval says against a practical margin."""
+    return F.when(low > margin, "better").when(high < -margin, "worse").when((low > -margin) & (high < margin), "equivalent").otherwise("unclear")
+
+
+def rarity_recall(ranked: DataFrame, relevant: DataFrame, frequency: DataFrame, query: str, item: str, k: int) -> DataFrame:
+    """query, recall: rare targets weigh more, 1 / log2(2 + frequency)."""
+    w = 1 / F.log2(2 + F.col("freq"))
+    goal = relevant.join(frequency, item).withColumn("w", w)
+    hit = goal.join(ranked.where(F.col("rank") <= k).select(query, item, F.lit(1).alias("hit")), [query, item], "left")
+    return hit.groupBy(query).agg((F.sum(F.coalesce("hit", F.lit(0)) * F.col("w")) / F.sum("w")).alias("recall"))
+
+
+def reliable_from(buckets: DataFrame, order: str, value: str, least: float) -> DataFrame:
+    """The first bucket whose value reaches the least."""
+    return buckets.where(F.col(value) >= least).orderBy(order).limit(1)
