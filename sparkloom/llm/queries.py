@@ -69,4 +69,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_chat, op2_jump_shards, op3_latent_decontam, op4_pii, op5_mix, op6_toxicity, op7_line_chunks, op8_token_counts, op9_collision_ann, op10_dart_minhash)
 }
-SQL: dict[str, str] = {}
+
+
+def _share(level: str, parent: str, keys: str, source: str, weight: str, budget: str) -> str:
+    """SQL of one level of the tree: children of `source` share their parent's budget."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""n{level} AS (SELECT {keys}, sum(cap) AS cap, {weight} AS w FROM leaf GROUP BY {keys}), b{level} AS (SELECT n.*, budget::HUGEINT AS budget FROM n{level} n {budget}),
+r{level} AS (SELECT *, greatest(budget - coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {source} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest, sum(w) OVER ({by} ORDER BY cap / w, {source} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM b{level}),
+f{level} AS (SELECT *, cap * left_w <= rest * w AS full_ FROM r{level}),
+s{level} AS (SELECT {keys}, CASE WHEN full_ THEN cap ELSE (budget - coalesce(sum(cap) FILTER (full_) OVER ({by}), 0)) * w // sum(w) FILTER (NOT full_) OVER ({by}) END AS budget FROM f{level})"""
+
+
+def _mix_sql() -> str:
+    def weight(name: str) -> str:
+        own = MIX["weights"].get(name, {})
+        return "CASE " + name + "".join(f" WHEN '{k}' THEN {v}" for k, v in own.items()) + " ELSE 1 END" if own else "1"
+
+    number = "regexp_extract(source, '([0-9]+)$', 1)"
+    return rf"""WITH rows_ AS (SELECT doc_id, CASE WHEN {number} = '' THEN 'other' ELSE 'domain' || (right({number}, 4)::INT % 4) END AS domain, lang, source, len(regexp_extract_all(text, '\S+')) AS n FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 0),
+leaf AS (SELECT domain, lang, source, sum(n)::HUGEINT AS tokens, {MIX["max_epochs"]} * sum(n)::HUGEINT AS cap FROM rows_ GROUP BY ALL), total AS (SELECT least(sum(tokens) * {MIX["budget_percent"]} // 100, sum(cap)) AS budget FROM leaf),
+{_share("1", "", "domain", "domain", weight("domain"), "CROSS JOIN total")}, {_share("2", "domain", "domain, lang", "lang", weight("lang"), "JOIN s1 USING (domain)")}, {_share("3", "domain, lang", "domain, lang, source", "source", weight("source"), "JOIN s2 USING (domain, lang)")},
+d AS (SELECT r.*, budget // tokens AS epochs, budget % tokens AS rest FROM rows_ r JOIN leaf USING (domain, lang, source) JOIN s3 USING (domain, lang, source)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX["seed"]}:' || epochs || ':' || doc_id), n) <= rest AS more FROM d)
+SELECT doc_id, domain, lang, source, n::BIGINT AS n_tokens, (epochs + more::INT)::BIGINT AS copies FROM c WHERE epochs + more::INT > 0"""
+
+
+SQL: dict[str, str] = {
+    "op5_mix": _mix_sql(),
+    "op7_line_chunks": r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, length(coalesce(text, '')) AS n_all FROM documents), e AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line, len(l) AS n FROM d),
+m AS (SELECT *, md5(line) AS h, length(line) >= 99 AND len(regexp_extract_all(line, '\S+')) >= 50 AS long FROM e),
+b AS (SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR substr(md5(coalesce(lag(h) OVER w, '') || h), 32) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+ch AS (SELECT doc_id, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS part FROM c GROUP BY doc_id, k HAVING bool_or(long) OR count(*) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, first) AS rn FROM ch),
+cut AS (SELECT doc_id, sum(n) AS n, string_agg(first || ':' || n, ',' ORDER BY first) AS cuts, sum(length(part)) AS chars FROM r WHERE rn > 1 GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(cuts, '') AS removed, (n_all - coalesce(chars, 0))::BIGINT AS cut_text_chars FROM d LEFT JOIN cut USING (doc_id)""",
+}
