@@ -2,9 +2,10 @@
 
 1. Each document becomes the sequence of its words' places in the benchmark's vocabulary (-1: another word); one pass over
    the texts, written to the shared folder.  All later passes read that.
-2. Frequencies of the terms in all blocks of STRIDE words give TF-IDF weights; terms in more than COMMON of the blocks weigh nothing.
-3. A randomised SVD over the TF-IDF vectors of all passages (WINDOW words, STRIDE apart): each task multiplies its
-   passages with a random matrix, the products are summed over the tasks level by level, and the Nystrom formula gives the right singular vectors.
+2. Frequencies of the terms in all blocks of STRIDE words give TF-IDF weights (to the power POWER); terms in more than COMMON of the blocks weigh nothing.
+3. A randomised SVD over the TF-IDF vectors of all passages (WINDOW words, STRIDE apart), the benchmark's items being rows too, together as heavy as
+   the corpus: each task multiplies its passages with a random matrix, the products are summed over the tasks level by level, and the Nystrom formula
+   gives the right singular vectors.
 4. Passages and items are compared by cosine in that space.  Candidates, past a cheap bound on the shared weight, are decided
    by the longest common subsequence of words within a stretch little longer than the item, and for paraphrases by the words of the
    item's answer, its last sentence.
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import shared_table, small_batches
 from sparkloom.llm.words import pieces, words_of
 
-WINDOW, STRIDE, RANK, OVER = 64, 32, 128, 16
-COMMON, COSINE, SHARED = 0.1, 0.3, 0.3
+WINDOW, STRIDE, RANK, OVER = 64, 32, 64, 16
+COMMON, POWER, COSINE, SHARED = 0.02, 1.5, 0.4, 0.3
 #: Share of an item's words in order: enough alone, or with so many of the answer's words.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
-STRETCH, SHORT, ITEMS, FAN = 1.3, 8, 4_096, 16
+STRETCH, SHORT, ITEMS, FAN = 1.3, 8, 1_024, 16
 
 
 class Items:
@@ -107,8 +108,8 @@ def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return sum((np.frombuffer(bytes(r.m), np.float32).reshape(shape) for r in parts.collect()), np.zeros(shape, np.float32))
 
 
-def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages' TF-IDF matrix, rows of length one."""
+def latent_space(terms: DataFrame, idf: np.ndarray, items: np.ndarray, passages: float, rank: int = RANK, seed: int = 3) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF matrix of passages and items (rows of length one)."""
     size = len(idf)
     wide = min(size, rank + OVER)
     weights = terms.sparkSession.sparkContext.broadcast(idf)
@@ -137,6 +138,7 @@ def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
 
     y = _summed(terms.mapInArrow(sketch, "m binary"), (size, wide)).astype(float)
     omega = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32).astype(float)
+    y += passages / max(1, len(items)) * (items.T @ (items @ omega))
     shift = 1e-7 * max(float(np.linalg.norm(y)), 1e-9)
     y += shift * omega
     core = omega.T @ y
@@ -193,10 +195,14 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
     for r in rows:
         df[r.term] = r.n  # -1, the last, counts the blocks
     total = max(1.0, df[-1])
-    idf = np.where(df[:-1] > max(COMMON * total, 3), 0, np.log((1 + total) / (1 + df[:-1]))).astype(np.float32)
+    idf = (np.where(df[:-1] > max(COMMON * total, 3), 0, np.log((1 + total) / (1 + df[:-1]))) ** POWER).astype(np.float32)
     if not idf.any():
         idf[:] = 1  # a tiny corpus
-    space = latent_space(terms, idf)
+    rows_of = np.zeros((len(items.terms), size))
+    for i, t in enumerate(items.terms):
+        np.add.at(rows_of[i], t, idf[t])
+    rows_of /= np.maximum(np.linalg.norm(rows_of, axis=1, keepdims=True), 1e-9)
+    space = latent_space(terms, idf, rows_of, total)
     aimed = space * idf[:, None]
     query = np.stack([aimed[t].sum(0) if len(t) else np.zeros(space.shape[1], np.float32) for t in items.terms])
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
