@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import associations, records, spaces
+from sparkloom.plans import associations, records, scalars, spaces
 
-QUERIES: dict = associations.QUERIES | records.QUERIES | spaces.QUERIES
-SQL: dict[str, str] = associations.SQL | records.SQL | spaces.SQL
+QUERIES: dict = associations.QUERIES | records.QUERIES | spaces.QUERIES | scalars.QUERIES
+SQL: dict[str, str] = associations.SQL | records.SQL | spaces.SQL | scalars.SQL
