@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import text_or_empty
 
-WINDOW, LONG_WORDS = 2, 50
+WINDOW, LONG_WORDS = 2, 20
 
 
 def _is_long(line: Column) -> Column:

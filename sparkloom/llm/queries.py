@@ -97,7 +97,7 @@ SELECT doc_id, domain, lang, source, n::BIGINT AS n_tokens, (epochs + more::INT)
 SQL: dict[str, str] = {
     "op5_mix": _mix_sql(),
     "op7_line_chunks": r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, length(coalesce(text, '')) AS n_all FROM documents), e AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line, len(l) AS n FROM d),
-m AS (SELECT *, md5(line) AS h, length(line) >= 99 AND len(regexp_extract_all(line, '\S+')) >= 50 AS long FROM e),
+m AS (SELECT *, md5(line) AS h, length(line) >= 39 AND len(regexp_extract_all(line, '\S+')) >= 20 AS long FROM e),
 b AS (SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR substr(md5(coalesce(lag(h) OVER w, '') || h), 32) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
 ch AS (SELECT doc_id, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS part FROM c GROUP BY doc_id, k HAVING bool_or(long) OR count(*) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, first) AS rn FROM ch),

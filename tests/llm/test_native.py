@@ -141,7 +141,7 @@ def test_mixing(spark):
 
 def chunk_lines(text):
     lines = (text or "").split("\n")
-    marks = [(hashlib.md5(x.encode()).hexdigest(), len(x) >= 99 and len(x.split()) >= 50) for x in lines]
+    marks = [(hashlib.md5(x.encode()).hexdigest(), len(x) >= 39 and len(x.split()) >= 20) for x in lines]
     out, first = [], 0
     for i in range(len(lines)):
         rolled = hashlib.md5(((marks[i - 1][0] if i else "") + marks[i][0]).encode()).hexdigest()
