@@ -7,11 +7,12 @@ name are hashed with it.  A text keeps, for each of BANDS x ROWS coordinates, th
 looked at up to a bound that gives each coordinate some darts, and twice that for texts with a coordinate left empty.  Two texts
 agree in a coordinate with the probability of their (weighted) similarity.
 
-Texts with the same words are one class from the start, and only one of each goes on.  Bands of equal darts make buckets; in each bucket the
-smallest id is the centre, all others are compared with it by their true shingles, those that are as similar as asked leave, and
-what remains gets a new centre, in rounds.  A bucket never is paired with itself: a round is linear in it.  A bucket that
-still holds many dissimilar texts after ROUNDS rounds is split by each further band in turn (texts as similar as asked for
-agree in several bands), and the rounds go on until no bucket has two texts.  Links make connected components.
+Texts with the same words are one class from the start, and only one of each goes on.  Bands of equal darts make buckets.  In rounds, each
+bucket names one centre (the smallest id at first, then one by hash), which is compared by true shingles with all in the bucket that
+aren't known to be of its class, and leaves; links join classes, and a bucket whose texts are all of one class is done.  So a round is
+linear in the rows, and a bucket never is paired with itself.  The rounds go on until no bucket holds several classes, or IDLE rounds in a row find no
+link: what then still shares a bucket is of classes none of whose texts there was linked to any of the centres.  A comparison of
+all that is left would be quadratic in a group of copies that lies just under the bound.
 
 Null and empty texts, and texts without words, are classes of their own.  Rows with the same doc_id are one document
 (its least text counts).  A null doc_id has no class and is left out.  An empty table gives an empty table; other columns are dropped.
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import shared_table, small_batches
+from sparkloom.operators.graph import components
 from sparkloom.llm.words import mixed, pieces, shingles_of, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
-ROUNDS = 4
+IDLE = 2
 #: Expected darts a coordinate of the first look; beyond what the coupon collector asks.
 SURE = 3.0
 _STEP, _COORDINATE, _HEIGHT, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9))
@@ -117,12 +119,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, set: sorted distinct shingles as the bytes of 64-bit numbers."""
+    """id, set: sorted distinct shingles as the bytes of 32-bit hashes (two of a pair of texts coincide by chance less than once in 100 pairs of 5,000 words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in pieces(batch.column(1)):
-                s, t, _ = _distinct(*shingles_of(words_of(part), SHINGLE))
+                s, t = shingles_of(words_of(part), SHINGLE)
+                s, t, _ = _distinct((s >> np.uint64(32)).astype(np.uint32), t)
                 cut = np.searchsorted(t, np.arange(len(part) + 1))
                 yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array([s[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "set"])
 
@@ -130,13 +133,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
-    """key, id, centre, near: whether the sets `a` and `b` have at least that Jaccard similarity."""
+    """id, centre, near: whether the sets `a` and `b` have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for a, b in zip(batch.column(3), batch.column(4), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
                 if min(len(a), len(b)) < least * max(len(a), len(b)):
                     near.append(False)
                     continue
@@ -144,78 +147,64 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 near.append(common >= least * (len(both) - common) and len(both) > 0)
-            yield pa.record_batch([*batch.columns[:3], pa.array(near, pa.bool_())], ["key", "id", "centre", "near"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(near, pa.bool_())], ["id", "centre", "near"])
 
-    return pairs.select("key", "id", "centre", "a", "b").mapInArrow(run, "key long, id long, centre long, near boolean")
+    return pairs.select("id", "centre", "a", "b").mapInArrow(run, "id long, centre long, near boolean")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows (key, id) of the keys that hold more than one id."""
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, label) of the keys that hold more than one label."""
+    many = rows.groupBy("key").agg(F.min("label").alias("__a"), F.max("label").alias("__b")).where("__a <> __b").select("key")
     return rows.join(many, "key", "left_semi")
 
 
-def links(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """id, centre: verified links between texts with different words.
+def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """id, label (the smallest id of its class) of the texts that shared a bucket with another.
 
-    signed: id, bands, one row for each; docs: doc_id, text.
+    signed: id, bands, one row for each different text; docs: doc_id, text.
     """
-    rows = signed.select("id", F.posexplode("bands").alias("band", "key"))
-    left = shared_table(_buckets(rows.select("key", "id")), "dart-buckets")
-    needed = left.select("id").distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi")
+    rows = signed.select(F.explode("bands").alias("key"), "id", F.col("id").alias("label"))
+    left = shared_table(_open(rows), "dart-buckets")
+    known = shared_table(left.select("id", "label").distinct(), "dart-labels")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(known.select("id"), "id", "left_semi")
     sets = shared_table(shingle_sets(texts).groupBy("id").agg(F.min("set").alias("set")), "dart-shingles")
     found: DataFrame | None = None
-    at = 0
-    while left.count():
-        centres = left.groupBy("key").agg(F.min("id").alias("centre"))
-        pairs = left.join(centres, "key").where("id <> centre")
-        # a pair of texts is compared once, in whichever bucket; every bucket hears of it
-        once = pairs.groupBy("id", "centre").agg(F.min("key").alias("key"))
+    at, idle = 0, 0
+    while idle < IDLE and not left.isEmpty():
+        pick = F.struct((F.xxhash64("id", F.lit(at)) if at else F.col("id")).alias("order"), "id", "label")
+        centres = left.groupBy("key").agg(F.min(pick).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.label").alias("other"))
+        pairs = left.join(centres, "key")
+        # a pair of texts is compared once, in however many buckets it met
+        once = pairs.where("label <> other").select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct()
         told = once.join(sets.withColumnRenamed("set", "a"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("b")), "centre")
-        checked = shared_table(similar(told, least).select("id", "centre", "near"), "dart-checked")
-        near = checked.where("near").select("id", "centre")
-        found = near if found is None else found.unionByName(near)
-        left = pairs.join(near, ["id", "centre"], "left_anti").select("key", "id")
+        near = shared_table(similar(told, least).where("near").select("id", "centre"), "dart-links")
+        idle += 1
+        if not near.isEmpty():
+            idle = 0
+            found = near if found is None else found.unionByName(near)
+            # one step towards the classes: enough to spare comparisons; the classes themselves are made at the end
+            edges = near.join(known, "id").join(known.select(F.col("id").alias("centre"), F.col("label").alias("other")), "centre")
+            ends = F.array(F.struct(F.col("label").alias("x"), F.col("other").alias("y")), F.struct(F.col("other").alias("x"), F.col("label").alias("y")))
+            roots = edges.select(F.explode(ends).alias("e")).groupBy(F.col("e.x").alias("label")).agg(F.min("e.y").alias("root"))
+            known = shared_table(known.join(roots, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label")), "dart-labels")
+        rest = pairs.where("id <> centre").select("key", "id")
         at += 1
-        if at % ROUNDS == 0:
-            # what still shares a bucket goes on under (bucket, any other band)
-            finer = left.join(rows.select("id", F.col("key").alias("other")), "id").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
-            left = finer
-        left = shared_table(_buckets(left), "dart-buckets")
-    return found if found is not None else signed.sparkSession.createDataFrame([], "id long, centre long")
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """id, root: the smallest id of the component, of every id in an edge; large and small stars in turn until nothing moves."""
-    now = shared_table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "component-edges")
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = shared_table(small, "component-edges")
-        # equal edge sets: nothing moved
-        sums = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for x in (now, after)]
-        now = after
-        if tuple(sums[0]) == tuple(sums[1]):
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        left = shared_table(_open(rest.join(known, "id").select("key", "id", "label")), "dart-buckets")
+    if found is None:
+        return known
+    roots = components(found, "id", "centre")
+    return known.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), n_links (of verified links that the document's words have)."""
+    """doc_id, class_id: the smallest doc_id of the class."""
     signed = shared_table(signatures(docs, bands, rows), "dart-signatures")
     whole = signed.groupBy("id").agg(F.min(F.struct("words", "bands")).alias("s")).select("id", "s.words", "s.bands") if _repeats(signed) else signed
     same = whole.where("words is not null").groupBy("words").agg(F.min("id").alias("lead"))
-    leads = whole.join(same.select(F.col("lead").alias("id")), "id", "left_semi")
-    edges = shared_table(links(leads, docs, least), "dart-links")
-    root = components(edges, "id", "centre")
-    degree = edges.select("id").unionByName(edges.select(F.col("centre").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
-    lead = same.join(root.withColumnRenamed("id", "lead"), "lead", "left").join(degree.withColumnRenamed("id", "lead"), "lead", "left")
-    lead = lead.select("words", F.coalesce("root", "lead").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
-    return whole.join(lead, "words", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    leads = shared_table(whole.join(same.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "bands"), "dart-leads")
+    found = labels(leads, docs, least).select(F.col("id").alias("lead"), "label")
+    lead = same.join(found, "lead", "left").select("words", F.coalesce("label", "lead").alias("class_id"))
+    return whole.select("id", "words").join(lead, "words", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def _repeats(signed: DataFrame) -> bool:
