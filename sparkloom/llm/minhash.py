@@ -10,9 +10,10 @@ agree in a coordinate with the probability of their (weighted) similarity.
 Texts with the same words are one class from the start, and only one of each goes on.  Bands of equal darts make buckets.  In rounds, each
 bucket names one centre (the smallest id at first, then one by hash), which is compared by true shingles with all in the bucket that
 aren't known to be of its class, and leaves; links join classes, and a bucket whose texts are all of one class is done.  So a round is
-linear in the rows, and a bucket never is paired with itself.  The rounds go on until no bucket holds several classes, or IDLE rounds in a row find no
-link: what then still shares a bucket is of classes none of whose texts there was linked to any of the centres.  A comparison of
-all that is left would be quadratic in a group of copies that lies just under the bound.
+linear in the rows.  The rounds go on until no bucket holds several classes, or IDLE rounds in a row find no link.  Texts still in a bucket
+with another class are then joined exactly by prefixes: in an order of the shingles by rarity, two similar texts share one of the first
+n - least n + 1 of their n shingles.  Texts of a group just under the bound share their frequent shingles, which come last, so few pairs are
+left to compare.  No pair that shares a bucket stays uncompared unless its sizes or prefixes rule it out.
 
 Null and empty texts, and texts without words, are classes of their own.  Rows with the same doc_id are one document
 (its least text counts).  A null doc_id has no class and is left out.  An empty table gives an empty table; other columns are dropped.
@@ -34,6 +35,8 @@ from sparkloom.llm.words import mixed, pieces, shingles_of, words_of
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
 IDLE = 2
+#: Shingles are counted in so many slots to tell the rare ones; any order is exact.
+SLOTS = 1 << 16
 #: Expected darts a coordinate of the first look; beyond what the coupon collector asks.
 SURE = 3.0
 _STEP, _COORDINATE, _HEIGHT, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9))
@@ -158,6 +161,53 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(many, "key", "left_semi")
 
 
+def prefixes(rest: DataFrame, least: float) -> DataFrame:
+    """key (a shingle), id, label, n, place: of each text's n shingles the rarest, one of which each similar text has among its own.
+
+    rest: id, label, set.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                n += np.bincount(np.frombuffer(x.as_buffer(), np.uint32) % SLOTS, minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
+
+    counted = rest.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    sent = rest.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, taken = [np.empty(0, np.uint32)], [], []
+            for x in batch.column(2):
+                s = np.frombuffer(x.as_buffer(), np.uint32)
+                some = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
+                keys.append(s[np.argsort(sent.value[s % SLOTS], kind="stable")[:some]])
+                sizes.append(len(s))
+                taken.append(some)
+            taken = np.array(taken, np.int64)
+            row = np.repeat(np.arange(len(taken)), taken)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+            yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), *(batch.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(np.array(sizes, np.int32)[row]), pa.array(place.astype(np.int32))], ["key", "id", "label", "n", "place"])
+
+    return rest.select("id", "label", "set").mapInArrow(first, "key long, id long, label long, n int, place int")
+
+
+def prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
+    """id, centre: all pairs of different labels that can be similar, each once."""
+    rows = _open(prefixes(rest, least))
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "place"))) for k in "ab")
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
+    # the first shared shingle leaves so many that can be shared
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9
+    pairs = a.join(b, "key").where((F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & sized & reach)
+    return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("centre")).distinct()
+
+
 def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """id, label (the smallest id of its class) of the texts that shared a bucket with another.
 
@@ -169,6 +219,11 @@ def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFr
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(known.select("id"), "id", "left_semi")
     sets = shared_table(shingle_sets(texts).groupBy("id").agg(F.min("set").alias("set")), "dart-shingles")
     found: DataFrame | None = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(sets.withColumnRenamed("set", "a"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("b")), "centre")
+        return shared_table(similar(told, least).where("near").select("id", "centre"), "dart-links")
+
     at, idle = 0, 0
     while idle < IDLE and not left.isEmpty():
         pick = F.struct((F.xxhash64("id", F.lit(at)) if at else F.col("id")).alias("order"), "id", "label")
@@ -176,8 +231,7 @@ def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFr
         pairs = left.join(centres, "key")
         # a pair of texts is compared once, in however many buckets it met
         once = pairs.where("label <> other").select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct()
-        told = once.join(sets.withColumnRenamed("set", "a"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("b")), "centre")
-        near = shared_table(similar(told, least).where("near").select("id", "centre"), "dart-links")
+        near = linked(once)
         idle += 1
         if not near.isEmpty():
             idle = 0
@@ -190,6 +244,10 @@ def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFr
         rest = pairs.where("id <> centre").select("key", "id")
         at += 1
         left = shared_table(_open(rest.join(known, "id").select("key", "id", "label")), "dart-buckets")
+    if not left.isEmpty():
+        rest = shared_table(left.select("id", "label").distinct().join(sets, "id"), "dart-rest")
+        near = linked(prefix_pairs(rest, least))
+        found = near if found is None else found.unionByName(near)
     if found is None:
         return known
     roots = components(found, "id", "centre")

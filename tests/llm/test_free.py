@@ -140,6 +140,23 @@ def test_near_duplicates(spark):
     assert minhash.one_of_each(table(spark, rows)).count() == len(set(got.values()))
 
 
+def test_near_duplicates_of_a_full_bucket(spark):
+    rnd = random.Random(5)
+    base = [f"word{k}" for k in range(300)]
+    rows = []
+    for i in range(60):  # a family just under the bound, all in one bucket
+        w = list(base)
+        for k in rnd.sample(range(300), 8):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    for i, j in ((20, 31), (41, 8), (55, 47)):
+        rows[i] = (i, rows[j][1] + " more")
+    signed = spark.createDataFrame([(i, [7]) for i, _ in rows], "id long, bands array<long>")
+    got = {r.id: r.label for r in minhash.labels(signed, table(spark, rows)).collect()}
+    want = true_classes(rows)
+    assert len(set(want.values())) == 57 and got == want
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 62, (2, 400), dtype=np.uint64)
