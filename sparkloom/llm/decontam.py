@@ -2,12 +2,13 @@
 
 1. Each document becomes the sequence of its words' places in the benchmark's vocabulary (-1: another word); one pass over
    the texts, written to the shared folder.  All later passes read that.
-2. Frequencies of the terms in all blocks of STRIDE words give TF-IDF weights (to the power POWER); terms in more than COMMON of the blocks weigh nothing.
+2. Frequencies of the terms in all blocks of STRIDE words give TF-IDF weights (to the power POWER); terms in more than COMMON of the blocks weigh nothing in the space of 3.
 3. A randomised SVD over the TF-IDF vectors of all passages (WINDOW words, STRIDE apart), the benchmark's items being rows too, together as heavy as
    the corpus: each task multiplies its passages with a random matrix, the products are summed over the tasks level by level, and the Nystrom formula
    gives the right singular vectors.
-4. Passages and items are compared by cosine in that space.  Candidates, past a cheap bound on the shared weight, are decided
-   by the longest common subsequence of words within a stretch little longer than the item, and for paraphrases by the words of the
+4. Passages and items are compared by cosine in that space; items of over WINDOW words in parts of WINDOW words.  Whatever
+   the weights, passages that hold enough of an item's pairs of neighbouring words (of items of one or two words: one of them) are
+   candidates too.  Those of the space pass a cheap bound on the shared weight; all are decided by the longest common subsequence of words within a stretch little longer than the item, and for paraphrases by the words of the
    item's answer, its last sentence.
 
 The benchmark is taken in blocks of ITEMS items, so nothing broadcast grows with it or the corpus.  Items without words find nothing;
@@ -48,6 +49,47 @@ class Items:
             sentences = [s for s in re.split(r"[.!?\n]+", text) if re.search(r"\w", s)]
             n = len(words_of(pa.array(sentences[-1:] or [""], pa.string())).hashes)
             self.answers.append(np.unique(own[len(own) - n :]))
+        self.parts = [(i, a) for i, t in enumerate(self.terms) for a in range(0, max(1, len(t)), WINDOW)]
+        self._index()
+
+    def _index(self) -> None:
+        """Grams (pairs of neighbouring words; words of items of at most two) with the items that have them, and how many a passage must hold."""
+        size, grams, owners = len(self.vocabulary), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.least = np.ones(len(self.terms), np.int64)
+        for i, t in enumerate(self.terms):
+            own = np.unique(t.astype(np.int64) - size if len(t) <= 2 else t[:-1].astype(np.int64) * size + t[1:])
+            grams.append(own)
+            owners.append(np.full(len(own), i))
+            n = len(t)
+            if n > 2:
+                wide = int(np.ceil(STRETCH * n))
+                # of distinct pairs; a lost or put-in word breaks some; a stretch lies in so many passages
+                held = len(own) - (wide - n) if n < SHORT else len(own) - int(0.8 * (n - 1)) - 1
+                self.least[i] = max(1, -(-held // (-(-(-(-(wide - 1) // STRIDE) + 1) // 2))))
+        grams, owners = np.concatenate(grams), np.concatenate(owners)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.owners, self.posting = owners[order], np.append(first, len(grams))
+
+    def held(self, b: Blocks) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) of the passages that hold enough grams of an item."""
+        size = len(self.vocabulary)
+        gram = np.concatenate([b.term.astype(np.int64) - size, b.term[:-1].astype(np.int64) * size + b.term[1:]])
+        next_to = (np.diff(b.at) == 1) & (b.doc[1:] == b.doc[:-1])
+        block = np.concatenate([b.block, b.block[:-1]])
+        there = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        hit = np.flatnonzero((self.grams[there] == gram) & np.concatenate([np.ones(len(b.term), bool), next_to]))
+        there, block = there[hit], block[hit]
+        # each gram counts once in a block
+        there, block = np.divmod(np.unique(there * (b.n + 1) + block), b.n + 1)
+        n = self.posting[there + 1] - self.posting[there]
+        item = self.owners[np.repeat(self.posting[there], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        block = np.repeat(block, n)
+        before = np.flatnonzero((block > 0) & ~b.last[block - 1])
+        cells, count = np.unique(np.concatenate([block * len(self.terms) + item, (block[before] - 1) * len(self.terms) + item[before]]), return_counts=True)
+        block, item = np.divmod(cells, len(self.terms))
+        enough = np.flatnonzero(count >= self.least[item])
+        return block[enough], item[enough]
 
     def terms_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Term of every word, and each text's first word."""
@@ -72,6 +114,7 @@ class Blocks:
         doc = np.repeat(np.arange(len(sizes)), sizes)
         self.at = np.flatnonzero(self.terms >= 0)  # of words in the vocabulary
         self.term = self.terms[self.at]
+        self.doc = doc[self.at]
         self.block = (self.first[doc] + (np.arange(len(doc)) - self.start[doc]) // STRIDE)[self.at] if len(doc) else np.empty(0, np.int64)
         self.n = int(self.blocks.sum())
         self.last = np.zeros(self.n, bool)
@@ -204,50 +247,65 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
     rows_of /= np.maximum(np.linalg.norm(rows_of, axis=1, keepdims=True), 1e-9)
     space = latent_space(terms, idf, rows_of, total)
     aimed = space * idf[:, None]
-    query = np.stack([aimed[t].sum(0) if len(t) else np.zeros(space.shape[1], np.float32) for t in items.terms])
+    parts = [items.terms[i][a : a + WINDOW] for i, a in items.parts]
+    query = np.stack([aimed[t].sum(0) for t in parts])
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-    inside = np.zeros((len(items.ids), size), np.float32)
-    weight = np.array([idf[t].sum() for t in items.terms], np.float32)
-    for i, t in enumerate(items.terms):
-        inside[i, t] = idf[t] / max(weight[i], 1e-9)
-    sent_more = spark.sparkContext.broadcast((aimed, query, inside, weight))
+    inside = np.zeros((len(parts), size), np.float32)
+    for k, t in enumerate(parts):
+        inside[k, t] = idf[t] / max(float(idf[t].sum()), 1e-9)
+    sent_more = spark.sparkContext.broadcast((aimed, query, inside, np.array([i for i, _ in items.parts], np.int64)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, (aimed, query, inside, weight) = sent.value, sent_more.value
+        items, (aimed, query, inside, item_of) = sent.value, sent_more.value
         masks: dict[int, dict[int, int]] = {}
+        sorted_terms: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             b = Blocks(batch.column(1))
             doc = np.repeat(np.arange(len(b.size)), b.blocks)
             x = b.passages(aimed)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            best: dict[tuple[int, int], tuple] = {}
+            asked: dict[tuple[int, int], float] = {}
             for a in range(0, b.n, 8192):
                 cosine = x[a : a + 8192] @ query.T
-                block, item = np.nonzero(cosine >= COSINE)
-                value, block = cosine[block, item], block + a
+                block, part = np.nonzero(cosine >= COSINE)
+                value, block = cosine[block, part], block + a
                 begin = b.start[doc[block]] + (block - b.first[doc[block]]) * STRIDE
                 end = np.minimum(begin + WINDOW, b.start[doc[block]] + b.size[doc[block]])
                 for c in range(0, len(block), 65_536):
                     s = slice(c, c + 65_536)
                     place = begin[s, None] + np.arange(WINDOW)
                     there = b.terms[np.minimum(place, len(b.terms) - 1)]
-                    share = np.where((place < end[s, None]) & (there >= 0), inside[item[s, None], there], 0).sum(1)
+                    share = np.where((place < end[s, None]) & (there >= 0), inside[part[s, None], there], 0).sum(1)
                     for k in np.flatnonzero(share >= SHARED) + c:
-                        i, d = int(item[k]), int(doc[block[k]])
-                        own = items.terms[i]
-                        if i not in masks:
-                            masks[i] = {}
-                            for p, t in enumerate(own.tolist()):
-                                masks[i][t] = masks[i].get(t, 0) | 1 << p
-                        lo = max(b.start[d], begin[k] - len(own))
-                        region = b.terms[lo : min(b.start[d] + b.size[d], begin[k] + max(WINDOW, len(own)) + len(own))]
-                        if (d, i) in best and best[d, i][0] == len(own):
-                            continue
-                        n, f, t = matched(own, masks[i], region)
-                        if (d, i) not in best or n > best[d, i][0]:
-                            answer = items.answers[i]
-                            known = np.isin(answer, region[f:t]).mean() if len(answer) else 0.0
-                            best[d, i] = (n, float(value[k]), float(known), int(lo + f - b.start[d]))
+                        cell = int(block[k]), int(item_of[part[k]])
+                        asked[cell] = max(float(value[k]), asked.get(cell, -1.0))
+            for block, i in zip(*(v.tolist() for v in items.held(b)), strict=True):
+                if (block, i) not in asked:
+                    asked[block, i] = float((query[item_of == i] @ x[block]).max())
+            best: dict[tuple[int, int], tuple] = {}
+            for (k, i), value in sorted(asked.items()):
+                d, own = int(doc[k]), items.terms[i]
+                if (d, i) in best and best[d, i][0] == len(own):
+                    continue
+                if i not in masks:
+                    masks[i] = {}
+                    for p, t in enumerate(own.tolist()):
+                        masks[i][t] = masks[i].get(t, 0) | 1 << p
+                    sorted_terms[i] = np.unique(own, return_counts=True)
+                begin = b.start[d] + (k - b.first[d]) * STRIDE
+                lo = max(b.start[d], begin - len(own))
+                region = b.terms[lo : min(b.start[d] + b.size[d], begin + max(WINDOW, len(own)) + len(own))]
+                # no subsequence is longer than what is there in any order
+                kinds, times = sorted_terms[i]
+                at = np.minimum(np.searchsorted(kinds, region), len(kinds) - 1)
+                there = np.bincount(at[kinds[at] == region], minlength=len(kinds))
+                if np.minimum(there, times).sum() < (1 if len(own) < SHORT else PARAPHRASE) * len(own):
+                    continue
+                n, f, t = matched(own, masks[i], region)
+                if (d, i) not in best or n > best[d, i][0]:
+                    answer = items.answers[i]
+                    known = np.isin(answer, region[f:t]).mean() if len(answer) else 0.0
+                    best[d, i] = (n, value, float(known), int(lo + f - b.start[d]))
             out = []
             for (d, i), (n, value, known, at) in best.items():
                 share = n / len(items.terms[i])

@@ -194,6 +194,41 @@ def test_decontamination(spark):
     assert decontam.find_contaminated(table(spark, []), bench).count() == 0 and decontam.find_contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def contaminated(spark, items, rows):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.find_contaminated(table(spark, rows), bench).collect()}
+
+
+def test_decontamination_of_frequent_words(spark):
+    rnd = random.Random(4)
+    often = [f"often{k}" for k in range(40)]
+    text = lambda n: [rnd.choice(often) if rnd.random() < 0.6 else f"w{rnd.randint(0, 4000)}" for _ in range(n)]
+    frequent, leaked, other = " ".join(rnd.choice(often) for _ in range(30)), " ".join(f"leak{k}" for k in range(24)), " ".join(f"w{k}" for k in range(40))
+    rows, want = [], set()
+    for d in range(200):
+        own, found = text(100), [i for i, every in ((0, 20), (1, 2)) if d % every == 0]
+        for i in found:
+            own[50:50] = (frequent, leaked)[i].split()
+        rows.append((d, " ".join(own)))
+        want |= {(d, i) for i in found}
+    assert contaminated(spark, [frequent, leaked, other], rows) == want
+
+
+def test_decontamination_of_short_and_long_items(spark):
+    rnd = random.Random(6)
+    text = lambda n: [f"w{rnd.randint(0, 900)}" for _ in range(n)]
+    items = [text(4), text(400), text(250), *(text(40) for _ in range(40)), ["single"], text(2)]
+    rows, want = [], set()
+    for d in range(60):
+        own, i = text(150), (0, 1, 2, 43, 44)[d % 5]
+        if d % 2:
+            own[70:70] = items[i]
+            want.add((d, i))
+        rows.append((d, " ".join(own)))
+    got = contaminated(spark, [" ".join(t) for t in items], rows)
+    assert {(d, i) for d, i in got if i < 3 or i == 43} == {(d, i) for d, i in want if i != 44} and got >= want
+
+
 def test_decontamination_query(spark):
     docs, bench = (pd.read_parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, s in zip(bench.item_id, bench.text) if s in t}
