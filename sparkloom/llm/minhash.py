@@ -7,13 +7,12 @@ name are hashed with it.  A text keeps, for each of BANDS x ROWS coordinates, th
 looked at up to a bound that gives each coordinate some darts, and twice that for texts with a coordinate left empty.  Two texts
 agree in a coordinate with the probability of their (weighted) similarity.
 
-Texts with the same words are one class from the start, and only one of each goes on.  Bands of equal darts make buckets.  In rounds, each
-bucket names one centre (the smallest id at first, then one by hash), which is compared by true shingles with all in the bucket that
-aren't known to be of its class, and leaves; links join classes, and a bucket whose texts are all of one class is done.  So a round is
-linear in the rows.  The rounds go on until no bucket holds several classes, or IDLE rounds in a row find no link.  Texts still in a bucket
-with another class are then joined exactly by prefixes: in an order of the shingles by rarity, two similar texts share one of the first
-n - least n + 1 of their n shingles.  Texts of a group just under the bound share their frequent shingles, which come last, so few pairs are
-left to compare.  No pair that shares a bucket stays uncompared unless its sizes or prefixes rule it out.
+A shingle weighs as often as its text holds it, in the signatures and in the comparison.  Texts with the same words are one class from the start,
+and only one of each goes on.  Bands of equal darts make buckets.  Each bucket names one centre, the text that meets most others in all its buckets, so the buckets of a
+group of copies name the same one; it is compared by true shingles with all in the bucket, a pair once in however many buckets it met, and the links make
+classes.  Texts that then still share a bucket with another class are joined exactly by prefixes: in an order of the shingles by rarity, two similar texts
+share one of the first few of each.  Texts of a group just under the bound share their frequent shingles, which come last, so few pairs are left to
+compare.  No pair that shares a bucket stays uncompared unless its sizes or prefixes rule it out, and the number of steps is fixed.
 
 Null and empty texts, and texts without words, are classes of their own.  Rows with the same doc_id are one document
 (its least text counts).  A null doc_id has no class and is left out.  An empty table gives an empty table; other columns are dropped.
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import shared_table, small_batches
@@ -34,7 +33,6 @@ from sparkloom.llm.words import mixed, pieces, shingles_of, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
-IDLE = 2
 #: Shingles are counted in so many slots to tell the rare ones; any order is exact.
 SLOTS = 1 << 16
 #: Expected darts a coordinate of the first look; beyond what the coupon collector asks.
@@ -95,7 +93,7 @@ def _distinct(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nd
     return s[at], t[at], np.diff(np.append(at, len(s)))
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count: bool = True) -> DataFrame:
     """id, words (a key of the words in order, null without words), bands array<long>. by_count: shingles weigh as often as they occur, else one."""
     small_batches(docs.sparkSession)
 
@@ -121,14 +119,22 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "id long, words string, bands array<long>")
 
 
+def _counted(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted elements (a shingle and which of its occurrences in the text) as 32-bit hashes, and their texts: their sets are as similar as the weighted shingles."""
+    s, t, n = _distinct(shingles, text)
+    row = np.repeat(np.arange(len(s)), n)
+    time = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    element = (mixed(s[row] + time.astype(np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
+    return _distinct(element, t[row])[:2]
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, set: sorted distinct shingles as the bytes of 32-bit hashes (two of a pair of texts coincide by chance less than once in 100 pairs of 5,000 words)."""
+    """id, set: sorted elements of the weighted shingles as the bytes of 32-bit hashes (two of a pair of texts coincide by chance less than once in 100 pairs of 5,000 words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in pieces(batch.column(1)):
-                s, t = shingles_of(words_of(part), SHINGLE)
-                s, t, _ = _distinct((s >> np.uint64(32)).astype(np.uint32), t)
+                s, t = _counted(*shingles_of(words_of(part), SHINGLE))
                 cut = np.searchsorted(t, np.arange(len(part) + 1))
                 yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array([s[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "set"])
 
@@ -161,8 +167,12 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(many, "key", "left_semi")
 
 
+def _needed(n: Column, share: float) -> Column:
+    return F.ceil(n * share - 1e-9)
+
+
 def prefixes(rest: DataFrame, least: float) -> DataFrame:
-    """key (a shingle), id, label, n, place: of each text's n shingles the rarest, one of which each similar text has among its own.
+    """key (an element), id, label, n, place: of each text's n elements the rarest, one of which each similar text of at most its size has among its own.
 
     rest: id, label, set.
     """
@@ -175,10 +185,9 @@ def prefixes(rest: DataFrame, least: float) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
 
-    counted = rest.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = rest.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     often = np.zeros(SLOTS, np.int64)
     often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    sent = rest.sparkSession.sparkContext.broadcast(often)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +195,7 @@ def prefixes(rest: DataFrame, least: float) -> DataFrame:
             for x in batch.column(2):
                 s = np.frombuffer(x.as_buffer(), np.uint32)
                 some = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
-                keys.append(s[np.argsort(sent.value[s % SLOTS], kind="stable")[:some]])
+                keys.append(s[np.argsort(often[s % SLOTS], kind="stable")[:some]])
                 sizes.append(len(s))
                 taken.append(some)
             taken = np.array(taken, np.int64)
@@ -198,13 +207,18 @@ def prefixes(rest: DataFrame, least: float) -> DataFrame:
 
 
 def prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
-    """id, centre: all pairs of different labels that can be similar, each once."""
-    rows = _open(prefixes(rest, least))
+    """id, centre: all pairs of different labels that can be similar, each once.
+
+    The larger text of a pair offers its whole prefix, the smaller one the shorter prefix that texts of at least its size ask for.
+    """
+    rows = shared_table(_open(prefixes(rest, least)), "dart-prefixes")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "place"))) for k in "ab")
-    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
-    # the first shared shingle leaves so many that can be shared
+    b = b.where(F.col("place_b") <= F.col("n_b") - _needed(F.col("n_b"), 2 * least / (1 + least)))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") > F.col("id_b")))
+    sized = F.col("n_b") >= F.col("n_a") * least - 1e-9
+    # the first shared element leaves so many that can be shared
     reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9
-    pairs = a.join(b, "key").where((F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & sized & reach)
+    pairs = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & larger & sized & reach)
     return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("centre")).distinct()
 
 
@@ -213,51 +227,42 @@ def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFr
 
     signed: id, bands, one row for each different text; docs: doc_id, text.
     """
-    rows = signed.select(F.explode("bands").alias("key"), "id", F.col("id").alias("label"))
-    left = shared_table(_open(rows), "dart-buckets")
-    known = shared_table(left.select("id", "label").distinct(), "dart-labels")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(known.select("id"), "id", "left_semi")
-    sets = shared_table(shingle_sets(texts).groupBy("id").agg(F.min("set").alias("set")), "dart-shingles")
-    found: DataFrame | None = None
+    rows = signed.select(F.explode("bands").alias("key"), "id")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a text has one row a band, so the window's groups are bounded
+    buckets = shared_table(rows.join(shared, "key").select("key", "id", F.sum("n").over(Window.partitionBy("id")).alias("met")), "dart-buckets")
+    if buckets.isEmpty():
+        return buckets.select("id", F.col("id").alias("label"))
+    ids = shared_table(buckets.select("id").distinct(), "dart-ids")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    if _repeats(texts):
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    sets = shared_table(shingle_sets(texts), "dart-shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         told = pairs.join(sets.withColumnRenamed("set", "a"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("b")), "centre")
         return shared_table(similar(told, least).where("near").select("id", "centre"), "dart-links")
 
-    at, idle = 0, 0
-    while idle < IDLE and not left.isEmpty():
-        pick = F.struct((F.xxhash64("id", F.lit(at)) if at else F.col("id")).alias("order"), "id", "label")
-        centres = left.groupBy("key").agg(F.min(pick).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.label").alias("other"))
-        pairs = left.join(centres, "key")
-        # a pair of texts is compared once, in however many buckets it met
-        once = pairs.where("label <> other").select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct()
-        near = linked(once)
-        idle += 1
-        if not near.isEmpty():
-            idle = 0
-            found = near if found is None else found.unionByName(near)
-            # one step towards the classes: enough to spare comparisons; the classes themselves are made at the end
-            edges = near.join(known, "id").join(known.select(F.col("id").alias("centre"), F.col("label").alias("other")), "centre")
-            ends = F.array(F.struct(F.col("label").alias("x"), F.col("other").alias("y")), F.struct(F.col("other").alias("x"), F.col("label").alias("y")))
-            roots = edges.select(F.explode(ends).alias("e")).groupBy(F.col("e.x").alias("label")).agg(F.min("e.y").alias("root"))
-            known = shared_table(known.join(roots, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label")), "dart-labels")
-        rest = pairs.where("id <> centre").select("key", "id")
-        at += 1
-        left = shared_table(_open(rest.join(known, "id").select("key", "id", "label")), "dart-buckets")
-    if not left.isEmpty():
-        rest = shared_table(left.select("id", "label").distinct().join(sets, "id"), "dart-rest")
-        near = linked(prefix_pairs(rest, least))
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return known
-    roots = components(found, "id", "centre")
-    return known.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    def labelled(links: DataFrame) -> DataFrame:
+        return ids.join(components(links, "id", "centre"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+
+    centres = buckets.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
+    links = linked(buckets.join(centres, "key").where("id <> centre").select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
+    known = shared_table(labelled(links), "dart-labels")
+    # texts that still share a bucket with another class
+    left = _open(buckets.select("key", "id").join(known, "id")).select("id", "label").distinct()
+    rest = shared_table(left.join(sets, "id"), "dart-rest")
+    more = linked(prefix_pairs(rest, least))
+    return known if more.isEmpty() else labelled(links.unionByName(more))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id: the smallest doc_id of the class."""
     signed = shared_table(signatures(docs, bands, rows), "dart-signatures")
-    whole = signed.groupBy("id").agg(F.min(F.struct("words", "bands")).alias("s")).select("id", "s.words", "s.bands") if _repeats(signed) else signed
+    whole = signed
+    if _repeats(signed):  # the order of texts is that of their keys' strings only by chance, so ask the texts
+        least_text = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+        whole = shared_table(signatures(least_text, bands, rows), "dart-signatures")
     same = whole.where("words is not null").groupBy("words").agg(F.min("id").alias("lead"))
     leads = shared_table(whole.join(same.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "bands"), "dart-leads")
     found = labels(leads, docs, least).select(F.col("id").alias("lead"), "label")
@@ -270,9 +275,11 @@ def _repeats(signed: DataFrame) -> bool:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document leads its class; rows without an id stay."""
+    """The rows of docs whose document leads its class, of equal ids the row with the least text; rows without an id stay."""
     gone = classes(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    first = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return first
-
-
+    first = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if not _repeats(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"))):
+        return first
+    row, order = F.struct(*first.columns), F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.to_json(F.struct(*first.columns)).alias("row"))
+    one = first.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return one.unionByName(first.where("doc_id is null"))
