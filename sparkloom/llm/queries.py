@@ -96,11 +96,17 @@ SELECT doc_id, domain, lang, source, n::BIGINT AS n_tokens, (epochs + more::INT)
 
 SQL: dict[str, str] = {
     "op5_mix": _mix_sql(),
-    "op7_line_chunks": r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, length(coalesce(text, '')) AS n_all FROM documents), e AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line, len(l) AS n FROM d),
-m AS (SELECT *, md5(line) AS h, length(line) >= 39 AND len(regexp_extract_all(line, '\S+')) >= 20 AS long FROM e),
-b AS (SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR substr(md5(coalesce(lag(h) OVER w, '') || h), 32) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS stop FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-ch AS (SELECT doc_id, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS part FROM c GROUP BY doc_id, k HAVING bool_or(long) OR count(*) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, first) AS rn FROM ch),
-cut AS (SELECT doc_id, sum(n) AS n, string_agg(first || ':' || n, ',' ORDER BY first) AS cuts, sum(length(part)) AS chars FROM r WHERE rn > 1 GROUP BY doc_id)
-SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(cuts, '') AS removed, (n_all - coalesce(chars, 0))::BIGINT AS cut_text_chars FROM d LEFT JOIN cut USING (doc_id)""",
+    "op7_line_chunks": r"""WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, ('0x' || left(md5(text), 15))::BIGINT AS t, string_split(text, chr(10)) AS l, length(text) AS n_all FROM d),
+e AS (SELECT doc_id, t, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM k WHERE n_all > 0),
+m AS (SELECT *, ('0x' || left(md5(line), 8))::BIGINT & 1073741823 AS h, length(line) >= 39 AND len(regexp_extract_all(line, '\S+')) >= 20 AS long FROM e),
+u AS (SELECT *, h * 1073741824 + lead(h) OVER (PARTITION BY doc_id, t ORDER BY i) AS roll FROM m),
+p AS (SELECT roll, count(*) AS n FROM u WHERE roll IS NOT NULL GROUP BY 1 HAVING count(*) > 1), s AS (SELECT h, count(*) AS n FROM u WHERE long GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT doc_id, t, i, line, u.roll, coalesce(p.n, 0) AS pairs, long, long AND s.n IS NOT NULL AS alone FROM u LEFT JOIN p ON u.roll = p.roll LEFT JOIN s ON u.h = s.h AND long),
+w AS (SELECT *, coalesce(lag(pairs) OVER v, 0) AS b, coalesce(lead(pairs) OVER v, 0) AS a, lag(roll) OVER v AS rb, lead(roll) OVER v AS ra, coalesce(lead(long) OVER v, false) AS la FROM f WINDOW v AS (PARTITION BY doc_id, t ORDER BY i)),
+c AS (SELECT *, pairs = 0 OR long OR la OR b > pairs OR a > pairs OR (b = pairs AND a = pairs AND roll < rb AND roll < ra) AS stop FROM w),
+g AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id, t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
+ch AS (SELECT doc_id, t, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS part FROM g WHERE pairs > 0 OR b > 0 OR alone GROUP BY doc_id, t, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, t, first) AS rn FROM ch WHERE regexp_matches(part, '\S')),
+cut AS (SELECT doc_id, t, sum(n) AS n, string_agg(first || ':' || n, ',' ORDER BY first) AS cuts, sum(length(part)) AS chars FROM r WHERE rn > 1 GROUP BY doc_id, t)
+SELECT q.doc_id, len(k.l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(cuts, '') AS removed, (n_all - coalesce(chars, 0))::BIGINT AS cut_text_chars FROM documents q JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id AND ('0x' || left(md5(coalesce(q.text, '')), 15))::BIGINT = k.t LEFT JOIN cut ON k.doc_id IS NOT DISTINCT FROM cut.doc_id AND k.t = cut.t""",
 }

@@ -139,15 +139,29 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [(1, None, None)]), 50, {}, 2).count() == 0
 
 
-def chunk_lines(text):
-    lines = (text or "").split("\n")
-    marks = [(hashlib.md5(x.encode()).hexdigest(), len(x) >= 39 and len(x.split()) >= 20) for x in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
-        rolled = hashlib.md5(((marks[i - 1][0] if i else "") + marks[i][0]).encode()).hexdigest()
-        if i == len(lines) - 1 or marks[i][1] or marks[i + 1][1] or rolled[-1] in "02468ace":
-            out.append((first + 1, i - first + 1, "\n".join(lines[first : i + 1]), i > first or marks[i][1]))
-            first = i + 1
+def chunk_lines(texts):
+    """(doc, first, n, part) of every chunk, by the rule in plain Python; texts: doc -> text."""
+    from collections import Counter
+
+    hashed = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) & ((1 << 30) - 1)
+    split = {d: t.split("\n") for d, t in texts.items() if t}
+    rolls = {d: [hashed(a) << 30 | hashed(b) for a, b in zip(x, x[1:])] for d, x in split.items()}
+    long = {d: [len(x) >= 39 and len(x.split()) >= 20 for x in y] for d, y in split.items()}
+    pair_times = Counter(r for x in rolls.values() for r in x)
+    alone_times = Counter(hashed(x) for d, y in split.items() for x, m in zip(y, long[d]) if m)
+    out = []
+    for d, lines in split.items():
+        pairs = [n if (n := pair_times[r]) > 1 else 0 for r in rolls[d]] + [0]
+        first = None
+        for i, x in enumerate(lines):
+            before, after = pairs[i - 1] if i else 0, pairs[i + 1] if i + 1 < len(lines) else 0
+            if not (pairs[i] or before or (long[d][i] and alone_times[hashed(x)] > 1)):
+                continue
+            first = i if first is None else first
+            least = before == after == pairs[i] > 0 and rolls[d][i] < min(rolls[d][i - 1], rolls[d][i + 1])
+            if not pairs[i] or long[d][i] or (i + 1 < len(lines) and long[d][i + 1]) or before > pairs[i] or after > pairs[i] or least:
+                out.append((d, first + 1, i - first + 1, "\n".join(lines[first : i + 1])))
+                first = None
     return out
 
 
@@ -165,21 +179,52 @@ def test_line_chunks(spark):
         if i % 5 == 0:
             lines.insert(rnd.randint(0, len(lines)), long_line)
         rows.append((i, "\n".join(lines), "s"))
-    rows += [(60, None, "s"), (61, "", "s"), (62, rows[5][1], "s"), (63, "one\n" * 300, "s")]
-    seen, want = {}, {}
-    for i, t, _ in rows:
-        cut = []
-        for first, n, part, fit in chunk_lines(t):
-            if fit and part in seen:
-                cut.append((first, n))
-            seen.setdefault(part, i)
-        want[i] = cut
+    rows += [(60, None, "s"), (61, "", "s"), (62, rows[5][1], "s"), (63, "one\n" * 300, "s"), (64, "a\n\n\nb", "s"), (65, "c\n\n\nd", "s")]
+    seen, want = set(), {}
+    for i, first, n, part in sorted(chunk_lines({i: t for i, t, _ in rows})):
+        if part.strip():
+            if part in seen:
+                want.setdefault(i, []).append((first, n))
+            seen.add(part)
     df = table(spark, rows)
-    got = {r.doc_id: [tuple(c) for c in r.cuts] for r in linededup.removals(df).collect()}
-    assert got == {i: c for i, c in want.items() if c} and len(got) > 20
+    got = {r["__id"]: [tuple(c) for c in r.cuts] for r in linededup.removals(df).collect()}
+    assert got == want and len(got) > 20
     texts = {r.doc_id: r.text for r in linededup.line_dedup(df).collect()}
-    assert sum((t or "").count("p5w3 ") for t in texts.values()) == 1 and sum((t or "").count("long3 ") for t in texts.values()) == 1
-    assert texts[1] == rows[1][1] and texts[60] is None and len(texts) == len(rows)
+    assert all(sum((t or "").count(f"p{k}w3 ") for t in texts.values()) == 1 for k in range(12)) and sum((t or "").count("long3 ") for t in texts.values()) == 1
+    assert texts[1] == rows[1][1] and texts[60] is None and len(texts) == len(rows) and texts[64] == rows[64][1]
     for r in linededup.report(df).collect():
-        assert r.n_lines == (rows[r.doc_id][1] or "").count("\n") + 1 and r.n_removed == sum(n for _, n in want[r.doc_id])
+        assert r.n_lines == (rows[r.doc_id][1] or "").count("\n") + 1 and r.n_removed == sum(n for _, n in want.get(r.doc_id, []))
     assert linededup.report(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("lines, words", [(2, 8), (3, 18), (4, 15), (6, 12), (10, 12), (1, 55)])
+def test_repeated_passages_go_whole(spark, lines, words):
+    """Passages of any number of lines, in two documents or more, one directly behind another too."""
+    import random
+
+    rnd = random.Random(lines)
+    fresh = iter(range(10**9))
+    line = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    passages = ["\n".join(line(words) for _ in range(lines)) for _ in range(20)]
+    rows = []
+    for i in range(80):
+        own = [line(rnd.randint(1, 12)) for _ in range(rnd.randint(1, 9))]
+        at = rnd.randint(0, len(own))
+        own[at:at] = [passages[i % 20], passages[(7 * i + 3) % 20]][: 1 + i % 2]
+        rows.append((i, "\n".join(own), "s"))
+    left = "\n".join(r.text for r in linededup.line_dedup(table(spark, rows)).collect()).split("\n")
+    assert sorted(left) == sorted({x for _, t, _ in rows for x in t.split("\n")})
+
+
+def test_line_chunks_of_equal_ids(spark):
+    """No row loses a chunk that no other document keeps."""
+    shared = "first shared line\nsecond shared line\nthird shared line"
+    rows = [(1, f"a\n{shared}", "s"), (1, f"a\n{shared}", "s"), (2, f"{shared}\nkeep me", "s"), (None, f"keep\n{shared}", "s"), (None, "other\nkeep me too\nand me", "s"), (2, f"x\n{shared}", "s")]
+    df = table(spark, rows).withColumns({"cuts": F.lit(1), "cut_chars": F.lit("x"), "chunks": F.lit(2), "i": F.lit(3)})
+    out = linededup.line_dedup(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or 0), r.text) for r in out.collect())
+    assert got == sorted([(1, "a"), (1, "a"), (2, "keep me"), (0, f"keep\n{shared}"), (0, "other\nkeep me too\nand me"), (2, "x")])
+    alone = table(spark, rows[:2])
+    assert [r.text for r in linededup.line_dedup(alone).collect()] == [rows[0][1]] * 2
+    assert linededup.report(df).count() == len(rows)
