@@ -96,7 +96,8 @@ def removals(docs: DataFrame) -> DataFrame:
     places = shared_table(chunk_places(docs), "line-chunks")
     texts = docs.where(F.length(text) > 0).select(*_document(text), _lines(text).alias("__lines"))
     keyed = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in _DOC]
-    parts = texts.alias("t").join(places.alias("p"), keyed[0] & keyed[1]).select("t.__id", "t.__text", "__lines", F.explode("chunks").alias("c"))
+    # texts are never the small side and the other one grows with them: one plan at every size
+    parts = texts.alias("t").join(places.alias("p").hint("merge"), keyed[0] & keyed[1]).select("t.__id", "t.__text", "__lines", F.explode("chunks").alias("c"))
     parts = parts.select(*_DOC, "c.first", "c.n", F.array_join(F.slice("__lines", F.col("c.first"), F.col("c.n")), "\n").alias("part")).where(F.col("part").rlike(r"\S"))
     parts = shared_table(parts, "line-parts")
     place = F.struct(*_DOC, "first")
