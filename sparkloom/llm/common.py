@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import read, shared_dir, shared_table
 
-__all__ = ["read", "shared_dir", "shared_table", "small_batches", "text_or_empty"]
+__all__ = ["read", "shared_dir", "shared_table", "slices", "small_batches", "text_or_empty"]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most so many bytes in a text or binary column; a longer value is taken alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of an Arrow batch, so that batches of very long texts stay small."""
+def small_batches(spark, rows: int = 512) -> None:
+    """Rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_table, small_batches
+from sparkloom.llm.common import shared_table, slices
 from sparkloom.operators.graph import components
 from sparkloom.llm.words import mixed, pieces, shingles_of, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
-#: Shingles are counted in so many slots to tell the rare ones; any order is exact.
-SLOTS = 1 << 16
 #: Expected darts a coordinate of the first look; beyond what the coupon collector asks.
 SURE = 3.0
 _STEP, _COORDINATE, _HEIGHT, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9))
@@ -95,7 +93,6 @@ def _distinct(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count: bool = True) -> DataFrame:
     """id, words (a key of the words in order, null without words), bands array<long>. by_count: shingles weigh as often as they occur, else one."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,36 +171,24 @@ def _needed(n: Column, share: float) -> Column:
 def prefixes(rest: DataFrame, least: float) -> DataFrame:
     """key (an element), id, label, n, place: of each text's n elements the rarest, one of which each similar text of at most its size has among its own.
 
-    rest: id, label, set.
+    rest: id, label, set.  Elements of one text alone come first in the order and join nothing, so they only count.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), np.uint32) % SLOTS, minlength=SLOTS)
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
-
-    counted = rest.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    often = np.zeros(SLOTS, np.int64)
-    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, taken = [np.empty(0, np.uint32)], [], []
-            for x in batch.column(2):
-                s = np.frombuffer(x.as_buffer(), np.uint32)
-                some = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
-                keys.append(s[np.argsort(often[s % SLOTS], kind="stable")[:some]])
-                sizes.append(len(s))
-                taken.append(some)
-            taken = np.array(taken, np.int64)
-            row = np.repeat(np.arange(len(taken)), taken)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
-            yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), *(batch.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(np.array(sizes, np.int32)[row]), pa.array(place.astype(np.int32))], ["key", "id", "label", "n", "place"])
-
-    return rest.select("id", "label", "set").mapInArrow(first, "key long, id long, label long, n int, place int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            sizes = np.array([len(p) for p in parts], np.int32)
+            row = pa.array(np.repeat(np.arange(len(parts)), sizes))
+            key = pa.array(np.concatenate([np.empty(0, np.uint32), *parts]).astype(np.int64))
+            yield pa.record_batch([key, *(batch.column(k).take(row) for k in (0, 1)), pa.array(sizes).take(row)], ["key", "id", "label", "n"])
+
+    elements = rest.select("id", "label", "set").mapInArrow(run, "key long, id long, label long, n int")
+    often = elements.groupBy("key").agg(F.count("*").alias("often"), (F.min("label") != F.max("label")).alias("open")).where("often > 1")
+    listed = elements.join(often, "key").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key", "open"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    some = F.greatest(F.lit(0), F.col("n") - _needed(F.col("n"), least) + 1 - alone).cast("int")
+    first = listed.select("id", "label", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), some)).alias("at", "e")).where("e.open")
+    return first.select("e.key", "id", "label", "n", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
@@ -211,7 +196,7 @@ def prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
 
     The larger text of a pair offers its whole prefix, the smaller one the shorter prefix that texts of at least its size ask for.
     """
-    rows = shared_table(_open(prefixes(rest, least)), "dart-prefixes")
+    rows = shared_table(prefixes(rest, least), "dart-prefixes")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "place"))) for k in "ab")
     b = b.where(F.col("place_b") <= F.col("n_b") - _needed(F.col("n_b"), 2 * least / (1 + least)))
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") > F.col("id_b")))
