@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches
+from sparkloom.llm.common import slices
 
 CONTROL = ("<turn>", "<says>", "</turn>")
 #: Reserved ids of the control strings, above every id of the vocabulary.
@@ -86,11 +86,10 @@ def read_turn(ids: np.ndarray, mask: np.ndarray, model) -> tuple[str, str, str,
 
 def format_conversations(turns: DataFrame, path: str | None = None) -> DataFrame:
     """conv_id, turn, ids, mask: one row a turn, encoded where it lies."""
-    small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for batch in batches:
+        for batch in slices(batches, 3):
             made = [assemble(r or "", t or "", model) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             ends = np.cumsum([0] + [len(i) for i, _ in made]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *(i for i, _ in made)]))

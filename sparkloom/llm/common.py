@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import read, shared_dir, shared_table
 
-__all__ = ["read", "shared_dir", "shared_table", "slices", "small_batches", "text_or_empty"]
+__all__ = ["read", "shared_dir", "shared_table", "slices", "text_or_empty"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -26,10 +26,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
             at = to
 
 
-def small_batches(spark, rows: int = 512) -> None:
-    """Rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_table, small_batches
+from sparkloom.llm.common import shared_table, slices
 from sparkloom.llm.words import pieces, words_of
 
 WINDOW, STRIDE, RANK, OVER = 64, 32, 64, 16
@@ -162,7 +162,7 @@ def latent_space(terms: DataFrame, idf: np.ndarray, items: np.ndarray, passages:
         omega = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
         aimed = omega * idf[:, None]
         total = np.zeros((size, wide), np.float32)
-        for batch in batches:
+        for batch in slices(batches, 1):
             b = Blocks(batch.column(1))
             y = b.passages(aimed)
             # lengths of the passages, so that all weigh the same
@@ -226,7 +226,7 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, n = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             b = Blocks(batch.column(1))
             count += np.bincount(np.unique(b.block * size + b.term) % size, minlength=size)
             n += b.n
@@ -259,7 +259,7 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
         items, (aimed, query, inside, item_of) = sent.value, sent_more.value
         masks: dict[int, dict[int, int]] = {}
         sorted_terms: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             b = Blocks(batch.column(1))
             doc = np.repeat(np.arange(len(b.size)), b.blocks)
             x = b.passages(aimed)
@@ -320,7 +320,6 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, common (share of the item's words in order), answer, cosine, word (where it begins): contaminated pairs only."""
     spark = docs.sparkSession
-    small_batches(spark)
     asked = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
     blocks = max(1, -(-asked.count() // items))
     found: DataFrame | None = None

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import small_batches
+from sparkloom.llm.common import slices
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -82,7 +82,7 @@ def frequent_lengths(docs: DataFrame, text: str, path: str | None, sample: int =
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for t in batch.column(0).to_pylist():
                 seen.update(u for u in units(t or "") if len(u) <= LONGEST)
             if len(seen) > 8 * most:
@@ -102,12 +102,11 @@ def frequent_lengths(docs: DataFrame, text: str, path: str | None, sample: int =
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit."""
     spark = docs.sparkSession
-    small_batches(spark)
     table = spark.sparkContext.broadcast(frequent_lengths(docs, text, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = lengths(model_path(path), table.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n = pa.array([cache.count(t) for t in batch.column(1).to_pylist()], pa.int64())
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
             yield pa.record_batch([batch.column(0), n_bytes, n, pc.greater(n, limit)], [key, "n_bytes", "n_tokens", "over_limit"])

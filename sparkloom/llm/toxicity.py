@@ -10,7 +10,8 @@ The network is trained on the driver on a bounded sample of labelled rows: by ha
 toxic and NEGATIVES other rows of the learning part, of at most LONGEST_TRAINED words (what is scored has no such
 bounds).  The true shares of both labels, counted over all labelled rows of the learning part, set the
 bias right.  The first column of the embeddings starts from smoothed log-odds in the sample.  Labels, language,
-source and id are never inputs of a score.  Where one label is missing, every score is the toxic share.
+source and id are never inputs of a score.  Where one label is missing, every score is the toxic share.  Of rows with the same id the one with the
+least text is learnt from; every row is scored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches
+from sparkloom.llm.common import slices
 from sparkloom.llm.words import Words, mixed, pieces, words_of
 
 WINDOW, STRIDE, HIDDEN, PART, BUCKETS, ATTENTION = 64, 48, 8, 6, 1 << 15, 8
@@ -186,40 +187,61 @@ class Network:
         return g
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Adam on whole texts; labels of both kinds are there."""
+class Sample:
+    """The words of the training texts, every distinct word once: the texts hold places in its table."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts: list[tuple[np.ndarray, ...]] = []  # distinct words, each word's place among them, first word and size of each window
+        place: dict[int, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        for t in texts:
+            words = words_of(pa.array([t], pa.string()))
+            word, grams, mask, index = distinct(words)
+            hashes = np.unique(words.hashes).tolist()
+            fresh = [k for k, h in enumerate(hashes) if h not in place]
+            for k in fresh:
+                place[hashes[k]] = len(place)
+            parts.append((word[fresh], grams[fresh], mask[fresh]))
+            _, first, size = windows_of(words)
+            self.texts.append((np.array([place[h] for h in hashes], np.int32), index.astype(np.int32), first.astype(np.int32), size.astype(np.int32)))
+        self.word, self.grams, self.mask = (np.concatenate([p[j] for p in parts]) for j in range(3))
+
+    def batch(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Arguments of Network.gradients for some texts, but for their labels."""
+        base, own, at, live, text = 0, [], [], [], []
+        for k, i in enumerate(some):
+            words, index, first, size = self.texts[i]
+            there = np.arange(WINDOW) < size[:, None]
+            at.append(np.where(there, np.append(index, 0)[np.where(there, first[:, None] + np.arange(WINDOW), len(index))] + base, -1))
+            live.append(there)
+            text.append(np.full(len(first), k))
+            own.append(words)
+            base += len(words)
+        own = np.concatenate(own)
+        kinds, back = np.unique(own, return_inverse=True)
+        at = np.concatenate(at)
+        at = np.where(at < 0, len(kinds), np.append(back, 0)[at])
+        return self.word[kinds], self.grams[kinds], self.mask[kinds], at, np.concatenate(live).astype(np.float32), np.concatenate(text)
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, start: bool = True) -> Network:
+    """Adam on whole texts; labels of both kinds are there.  start: the first columns of the embeddings start from log-odds."""
     net = Network.fresh(seed)
-    made = []
-    seen = {k: np.zeros((2, BUCKETS)) for k in ("word", "gram")}
-    for t, label in zip(texts, labels, strict=True):
-        words = words_of(pa.array([t], pa.string()))
-        word, grams, mask, index = distinct(words)
-        _, first, size = windows_of(words)
-        made.append((word, grams, mask, np.append(index, len(word)), first, size))
-        seen["word"][int(label), np.unique(word)] += 1
-        seen["gram"][int(label), np.unique(grams[mask])] += 1
+    sample = Sample(texts)
+    seen = {"word": np.zeros((2, BUCKETS)), "gram": np.zeros((2, BUCKETS))}
+    for (own, _, _, _), label in zip(sample.texts, labels, strict=True):
+        seen["word"][int(label), np.unique(sample.word[own])] += 1
+        seen["gram"][int(label), np.unique(sample.grams[own][sample.mask[own]])] += 1
     n = np.bincount(labels.astype(int), minlength=2)
-    for name, (no, yes) in seen.items():
+    for name, (no, yes) in seen.items() if start else ():
         odds = np.log((yes + 1) / (n[1] + 2)) - np.log((no + 1) / (n[0] + 2))
         net.w[name][:, 0] = np.where(yes + no >= 4, np.clip(odds, -1.5, 4), 0) * 0.5
     rng = np.random.default_rng(seed)
-    moments = {k: (np.zeros(v.shape, np.float64), np.zeros(v.shape, np.float64)) for k, v in net.w.items()}
-    step, total = 0, epochs * -(-len(made) // DOCS_AT_ONCE)
+    moments = {k: (np.zeros(v.shape), np.zeros(v.shape)) for k, v in net.w.items()}
+    step, total = 0, epochs * -(-len(texts) // DOCS_AT_ONCE)
     for _ in range(epochs):
-        for some in np.array_split(rng.permutation(len(made)), -(-len(made) // DOCS_AT_ONCE)):
-            base, at, live, text, parts = 0, [], [], [], []
-            for k, i in enumerate(some):
-                word, grams, mask, index, first, size = made[i]
-                there = np.arange(WINDOW) < size[:, None]
-                own = index[np.where(there, first[:, None] + np.arange(WINDOW), len(index) - 1)]
-                at.append(np.where(there, own + base, -1))
-                live.append(there)
-                text.append(np.full(len(first), k))
-                parts.append((word, grams, mask))
-                base += len(word)
-            at = np.concatenate(at)
-            at[at < 0] = base
-            grads = net.gradients(*(np.concatenate([p[j] for p in parts]) for j in range(3)), at, np.concatenate(live).astype(np.float32), np.concatenate(text), labels[some])
+        for some in np.array_split(rng.permutation(len(texts)), -(-len(texts) // DOCS_AT_ONCE)):
+            grads = net.gradients(*sample.batch(some), labels[some])
             step += 1
             rate = RATE * min(1, step / 20) * (1 - 0.9 * step / total)
             size = np.sqrt(sum(float(np.square(v).sum()) for v in grads.values()))
@@ -240,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(negatives))
     # at most positives + negatives ids, and texts of at most LONGEST_TRAINED words
     near = F.length("text") <= 24 * LONGEST_TRAINED
-    rows = docs.where(near).select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
+    rows = docs.where(near).select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     texts = {r.text: r.toxic for r in sorted(rows, key=lambda r: (r.doc_id, r.text)) if len(r.text.split()) <= LONGEST_TRAINED}
     truth = np.array(list(texts.values()), float)
     if len(set(texts.values())) < 2:
@@ -251,21 +273,21 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     return net
 
 
-def score(docs: DataFrame, net: Network | float, text: str = "text") -> DataFrame:
-    """docs with `score`; no exchange."""
-    small_batches(docs.sparkSession)
+def score(docs: DataFrame, net: Network | float, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with `out`, in the place of a column of that name if there is one; no exchange."""
+    docs = docs.drop(out)
     if isinstance(net, float):
-        return docs.withColumn("score", F.lit(net))
+        return docs.withColumn(out, F.lit(net))
     sent = docs.sparkSession.sparkContext.broadcast(net.w)
     at = docs.columns.index(text)
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns may have clashing names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(sent.value)
-        for batch in batches:
+        for batch in slices(batches, at):
             parts = [model.score(part) for _, part in pieces(batch.column(at))]
             logits = np.concatenate([np.empty(0, np.float32), *parts]).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-logits)))], [*names, "score"])
 
     schema = docs.toDF(*names).select("*", F.lit(0.0).alias("score")).schema
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, "score")
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, out)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -253,12 +254,66 @@ def test_toxicity(spark, trained):
     right = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i in held]
     assert len(right) > 60 and sum(right) >= 0.95 * len(right)
     odd = table(spark, [(1, None), (2, ""), (3, "clean1 " * 20_000), (3, "!!!")])
-    scores = toxicity.score(odd.withColumn("score_", F.lit(1)), net).collect()
+    scores = toxicity.score(odd.withColumns({"score": F.lit(1), "c0": F.lit("x")}), net).collect()
     assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
     assert toxicity.score(docs.limit(0), net).count() == 0
     assert toxicity.fit(docs, labels.where("toxic = 0")) == 0
 
 
+def slow_score(net, text):
+    """One text at a time, one window at a time, one word at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.llm.words import words_of
+
+    w, size = {k: v.astype(float) for k, v in net.w.items()}, toxicity.HIDDEN
+    words = words_of(pa.array([text]))
+    bucket, grams, mask, index = toxicity.distinct(words)
+    chars = lambda k: w["gram"][grams[k][mask[k]]].mean(0) if mask[k].any() else np.zeros(toxicity.PART)
+    gates = [np.concatenate([w["word"][bucket[k]], chars(k)]) @ w["in"] + w["bias"] for k in index]
+    spans, at = [], 0
+    while True:
+        spans.append(range(at, min(at + toxicity.WINDOW, len(gates))))
+        if at + toxicity.WINDOW >= len(gates):
+            break
+        at = min(at + toxicity.STRIDE, len(gates) - toxicity.WINDOW)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    logits = []
+    for span in spans:
+        states = np.zeros((len(span), 2 * size))
+        for way, order in enumerate((list(span), list(span)[::-1])):
+            h = np.zeros(size)
+            for i in order:
+                g, a = gates[i][way * 3 * size : (way + 1) * 3 * size], h @ w["back"][way]
+                z, r = sigmoid(g[:size] + a[:size]), sigmoid(g[size : 2 * size] + a[size : 2 * size])
+                new = np.tanh(g[2 * size :] + r * (a[2 * size :] + w["new"][way][0]))
+                h = z * h + (1 - z) * new
+                states[i - span[0], way * size : (way + 1) * size] = h
+        looks = np.tanh(states @ w["look"] + w["tilt"]) @ w["see"] if len(span) else np.zeros(0)
+        share = np.exp(looks - looks.max()) / np.exp(looks - looks.max()).sum() if len(span) else looks
+        logits.append(share @ states @ w["out"] + w["base"][0])
+    return sigmoid(np.log(np.exp(logits).sum()) - toxicity.SPREAD * np.log(len(logits)))
+
+
+def test_toxicity_against_a_plain_pass(spark, trained):
+    docs, _, rows, net = trained
+    texts = [(i, t) for i, t, _ in rows[:25]] + [(900, ""), (901, "idiot"), (902, "Ärger über ÉCOLE " * 40), (903, " ".join(f"clean{k % 120}" for k in range(64))), (904, " ".join(f"clean{k % 120}" for k in range(65)))]
+    got = {r.doc_id: r.score for r in toxicity.score(table(spark, texts), net).collect()}
+    for i, t in texts:
+        assert got[i] == pytest.approx(slow_score(net, t), abs=1e-4), i
+
+
+def test_toxicity_query(spark):
+    out = queries.op6_toxicity(spark, TINY).collect()
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    net = toxicity.fit(docs, spark.read.parquet(f"{TINY}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.score == pytest.approx(slow_score(net, texts[r.doc_id] or ""), abs=1e-4) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_gradients():
     """Against finite differences."""
     import pyarrow as pa
