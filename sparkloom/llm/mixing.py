@@ -7,9 +7,10 @@ above, because a node's own capacity is the sum of its leaves'.  Each leaf then
 token-prefix of its epochs: whole epochs while its share lasts, and of one more epoch, in an order
 that seed, epoch number and doc_id fix, the documents before the share runs out.
 
-All numbers are integers, so two engines agree to the row.  Nulls: a null domain, language or source is a
-value of its own, shown as ''; a null or empty text has no tokens and is never selected.  Weights default to one.
-Repeated rows count as often as they occur.  An empty table gives an empty table.
+Tokens and shares are integers, so two engines agree to the row; what a division leaves over (less than one token a child) is not given out.
+Nulls: a null domain, language or source is a value of its own, the empty one; a null or empty text has no tokens and is never selected.
+Weights default to one; a weight of nought gets nothing.  Repeated rows count as often as they occur.  Input columns named domain, n_tokens or copies
+give way to the operator's in `mix` and stay as they are in `repeated`.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from sparkloom.llm.common import shared_table, text_or_empty
 LEVELS = ("domain", "lang", "source")
 #: Slices of an epoch's order; only the slice in which a leaf's share runs out is sorted.
 SLICES = 4096
-#: Leaves whose shares are sent to all executors; beyond it the shares are joined by exchange.
-BROADCAST_LEAVES = 100_000
 
 
 def domain_of(source: Column) -> Column:
@@ -50,26 +49,26 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     Children in the order of capacity to weight: the first ones are full, and from the first that
     isn't, all have budget left x weight / weight left.
     """
-    order = [F.col("capacity") / F.col("weight"), F.col(name)]
+    order = [F.when(F.col("weight") > 0, F.col("capacity") / F.nullif("weight", F.lit(0))).asc_nulls_last(), F.col(name)]
     by = Window.partitionBy(*parent, "budget").orderBy(*order)
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
     big = lambda c: c.cast("decimal(38,0)")
     full_before = F.coalesce(F.sum("capacity").over(before), F.lit(0))
     out = nodes.withColumns({"rest": F.greatest(F.col("budget") - full_before, F.lit(0)), "left": F.sum("weight").over(after)})
-    out = out.withColumn("full", big(F.col("capacity")) * F.col("left") <= big(F.col("rest")) * F.col("weight"))
+    out = out.withColumn("full", (F.col("weight") > 0) & (big(F.col("capacity")) * F.col("left") <= big(F.col("rest")) * F.col("weight")))
     all_of = Window.partitionBy(*parent, "budget")
     out = out.withColumns({
         "spent": F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(all_of), F.lit(0)),
-        "open": F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))).over(all_of), F.lit(1)),
+        "open": F.greatest(F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))).over(all_of), F.lit(1)), F.lit(1)),
     })
     fair = F.expr("cast(cast((budget - spent) as decimal(38,0)) * weight div open as bigint)")
     return out.withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(F.greatest(fair, F.lit(0)))).drop("rest", "left", "full", "spent", "open")
 
 
-def leaf_shares(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
+def leaf_shares(leaves: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
     """domain, lang, source, tokens, share for a table of leaves with their tokens."""
     base = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    total = base.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(F.least(budget, F.col("tokens") * max_epochs).cast("long").alias("budget"))
+    total = base.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(F.expr(f"cast(least(cast(tokens as decimal(38,0)) * {int(budget_percent)} div 100, tokens * {int(max_epochs)}) as bigint)").alias("budget"))
     shares: DataFrame | None = None
     for depth, level in enumerate(LEVELS, 1):
         keys = list(LEVELS[:depth])
@@ -82,42 +81,47 @@ def leaf_shares(leaves: DataFrame, budget: Column, weights: dict[str, dict[str,
     return base.join(shares, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").alias("share"))
 
 
-def mix(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int = 7, domain: Column | None = None, slices: int = SLICES) -> DataFrame:
-    """docs that were selected, with domain, n_tokens and `copies`, the number of epochs they occur in.
+def _placed(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int, domain: Column | None, slices: int, texts: bool) -> DataFrame:
+    """Rows of docs that were selected, with __domain, __n and __copies; without texts only id, language and source.
 
-    The texts are never exchanged: counts per leaf and slice come first (one row for each leaf and
+    Texts are read once for counts (twice where they are asked for) and never exchanged: counts per leaf and slice come first (one row for each leaf and
     slice a task holds), and each leaf's share, its slice and what is left there are joined back.
     """
-    leaf = {"__domain": F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("")), "__lang": F.coalesce(F.col("lang"), F.lit("")), "__source": F.coalesce(F.col("source"), F.lit(""))}
     own = [f"__{x}" for x in LEVELS]
-    rows = docs.withColumns(leaf).withColumn("__n", token_count(text_or_empty())).where(F.col("__n") > 0)
-    slim = shared_table(rows.select("doc_id", *own, "__n"), "mix-counts")  # one pass over the texts; all that follows reads this
+    keys = {"__domain": F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("")), "__lang": F.coalesce(F.col("lang"), F.lit("")), "__source": F.coalesce(F.col("source"), F.lit(""))}
+    rows = docs.withColumns(keys | {"__n": token_count(text_or_empty())}).where(F.col("__n") > 0)
+    slim = shared_table(rows.select("doc_id", "lang", "source", *own, "__n"), "mix-counts")  # one pass over the texts; all that follows reads this
     stats = shared_table(slim.groupBy(*own).agg(F.sum("__n").alias("tokens")), "mix-leaves").toDF(*LEVELS, "tokens")
-    budget = F.floor(F.col("tokens") * F.lit(budget_percent) / 100)
-    shares = shared_table(leaf_shares(stats, budget, weights, max_epochs), "mix-shares")
+    shares = shared_table(leaf_shares(stats, budget_percent, weights, max_epochs), "mix-shares")
     shares = shares.select(*(F.col(x).alias(f"__{x}") for x in LEVELS), F.expr("share div tokens").alias("__epochs"), (F.col("share") % F.col("tokens")).alias("__rest"))
-    if shares.count() <= BROADCAST_LEAVES:
-        shares = F.broadcast(shares)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(shares, own).withColumn("__order", order).withColumn("__slice", F.floor(F.conv(F.substr("__order", F.lit(1), F.lit(8)), 16, 10).cast("long") * F.lit(slices) / F.lit(1 << 32)).cast("int"))
 
-    slim = placed(slim)
-    counts = shared_table(slim.groupBy(*own, "__rest", "__slice").agg(F.sum("__n").alias("tokens")), "mix-slices")
+    counts = shared_table(placed(slim).groupBy(*own, "__rest", "__slice").agg(F.sum("__n").alias("tokens")), "mix-slices")
     before = Window.partitionBy(*own).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     edge = counts.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0))).where((F.col("first") <= F.col("__rest")) & (F.col("__rest") < F.col("first") + F.col("tokens")))
-    edge = edge.select(*own, F.col("__slice").alias("__edge"), (F.col("__rest") - F.col("first")).alias("__room"))  # one row a leaf
+    edge = shared_table(edge.select(*own, F.col("__slice").alias("__edge"), (F.col("__rest") - F.col("first")).alias("__room")), "mix-edges")  # one row a leaf
     # the rows of the edge slices, by order: the ones before the room ends
-    slim = slim.join(F.broadcast(edge), own).where(F.col("__slice") == F.col("__edge"))
+    near = placed(slim).join(edge, own).where(F.col("__slice") == F.col("__edge"))
     along = Window.partitionBy(*own).orderBy("__order", "__n").rangeBetween(Window.unboundedPreceding, 0)
-    last = slim.withColumn("__sum", F.sum("__n").over(along)).where(F.col("__sum") <= F.col("__room"))
+    last = near.withColumn("__sum", F.sum("__n").over(along)).where(F.col("__sum") <= F.col("__room"))
     last = last.groupBy(*own).agg(F.max(F.struct("__order", "__n")).alias("__last"))  # the last key inside, one row a leaf
-    ends = edge.join(last, own, "left").select(*own, "__edge", "__last")
-    if shares.count() <= BROADCAST_LEAVES:
-        ends = F.broadcast(shared_table(ends, "mix-ends"))
+    ends = shared_table(edge.join(last, own, "left").select(*own, "__edge", "__last"), "mix-ends")
     inside = (F.col("__slice") < F.col("__edge")) | ((F.col("__slice") == F.col("__edge")) & (F.struct("__order", "__n") <= F.col("__last")))
     copies = F.col("__epochs") + F.when(inside, 1).otherwise(0)
-    chosen = placed(rows).join(ends, own, "left").withColumn("copies", copies.cast("long")).where(F.col("copies") > 0)
-    return chosen.withColumns({"domain": F.col("__domain"), "n_tokens": F.col("__n")}).select(*docs.columns, *[x for x in ("domain", "n_tokens", "copies") if x not in docs.columns])
+    return placed(rows if texts else slim).join(ends, own, "left").withColumn("__copies", copies.cast("long")).where(F.col("__copies") > 0)
+
+
+def mix(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int = 7, domain: Column | None = None, slices: int = SLICES, texts: bool = True) -> DataFrame:
+    """docs that were selected, with domain, n_tokens and `copies`, the number of epochs they occur in; without texts id, language and source are kept alone."""
+    chosen = _placed(docs, budget_percent, weights, max_epochs, seed, domain, slices, texts)
+    kept = [c for c in (docs.columns if texts else ("doc_id", "lang", "source")) if c not in ("domain", "n_tokens", "copies")]
+    return chosen.select(*kept, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), F.col("__copies").alias("copies"))
+
+
+def repeated(docs: DataFrame, budget_percent: int, weights: dict[str, dict[str, int]], max_epochs: int, seed: int = 7, domain: Column | None = None, slices: int = SLICES) -> DataFrame:
+    """The mixed table itself, with the columns of docs: a row for each epoch that it is in."""
+    chosen = _placed(docs, budget_percent, weights, max_epochs, seed, domain, slices, True)
+    return chosen.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

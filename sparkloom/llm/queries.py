@@ -28,7 +28,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), **MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+    return mixing.mix(read(spark, sf_dir, "documents"), **MIX, texts=False)
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,17 @@ def test_line_chunks_of_equal_ids(spark):
     alone = table(spark, rows[:2])
     assert [r.text for r in linededup.line_dedup(alone).collect()] == [rows[0][1]] * 2
     assert linededup.report(df).count() == len(rows)
+
+
+def test_mixing_of_odd_tables(spark):
+    """Weights of nought, repeated rows, clashing columns, nulls."""
+    rows = [(1, "a b c", "src1"), (1, "a b c", "src1"), (2, "d e", "src2"), (3, None, "src3"), (None, "f g h i", None), (4, "", "src1")]
+    df = table(spark, rows).withColumns({"domain": F.lit("own"), "copies": F.lit(7), "__epoch_": F.lit(1)})
+    every = mixing.mix(df, 200, {}, 2)
+    assert sorted(((r.doc_id or 0), r.domain, r.n_tokens, r.copies) for r in every.collect()) == [(0, "", 4, 2), (1, "domain1", 3, 2), (1, "domain1", 3, 2), (2, "domain2", 2, 2)]
+    assert every.columns.count("domain") == 1 and every.columns.count("copies") == 1
+    again = mixing.repeated(df, 200, {}, 2)
+    assert again.columns == df.columns and again.count() == 8 and {r.domain for r in again.collect()} == {"own"} and {r.copies for r in again.collect()} == {7}
+    none = mixing.mix(df, 100, {"domain": {"domain1": 0, "": 0}}, 1).collect()
+    assert {r.doc_id for r in none} == {2}
+    assert mixing.mix(df, 100, {"domain": {"domain1": 0, "domain2": 0, "": 0}}, 1).count() == 0
