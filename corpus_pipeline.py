@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, minhash, mixing, queries, shard, toxicity
 from sparkloom.llm.common import read, shared_table
@@ -11,8 +10,8 @@ from sparkloom.llm.common import read, shared_table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go; it learns from the stage's own documents."""
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    return scored.where("score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), out="__toxicity")
+    return scored.where("__toxicity < 0.5").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +26,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document comes once for each epoch that it is in."""
-    chosen = mixing.mix(docs, **queries.MIX)
-    return chosen.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.repeated(docs, **queries.MIX)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
