@@ -27,31 +27,70 @@ def folded(name: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """Key of the front face: folded, trimmed, a leading `a-` dropped, blanks collapsed, cut at the first slash."""
-    key = F.regexp_replace(F.trim(folded(name)), r"^a-", "")
+    return _front(folded(name))
+
+
+def _front(folded_name: Column) -> Column:
+    key = F.regexp_replace(F.regexp_replace(folded_name, r"^\s+|\s+$", ""), r"^a-", "")
     return F.trim(F.split_part(F.regexp_replace(key, r"\s+", " "), F.lit("/"), F.lit(1)))
 
 
+def _latin() -> tuple[str, str]:
+    """Accented Latin letters and their plain ones, by Unicode's decompositions."""
+    pairs = [(chr(c), _folded(chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(x, y) for x, y in pairs if len(y) == 1 and x != y]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+def _native_fold(name: Column) -> Column:
+    return F.replace(F.lower(F.translate(name, *_latin())), F.lit("ß"), F.lit("ss"))
+
+
+def native_key(name: Column) -> Column:
+    """name_key without Python, which higher-order functions can't call: accents of Latin letters are dropped, other scripts in lower case."""
+    return _front(_native_fold(name))
+
+
+def _all_faces(folded_name: Column) -> Column:
+    plain = F.translate(folded_name, "‘’‐‑–—", "''----")
+    plain = F.regexp_replace(F.regexp_replace(plain, "…", "..."), r"\s*/{1,2}\s*", " // ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*\.\s*\.\s*\.\s*", "..."), r"_{3,}", "_____")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
 def lookup_key(name: Column) -> Column:
-    """Key with all faces: quotes, dashes and ellipses made plain, ` // ` between faces, runs of underscores as five."""
-    plain = F.regexp_replace(F.translate(name, "‘’“”‐‑–—", "''\"\"----"), "…", "...")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*/+\s*", " // "), r"\. \. \.", "...")
-    return F.trim(F.regexp_replace(F.regexp_replace(folded(plain), r"_{3,}", "_____"), r"\s+", " "))
+    """Key with all faces: quotes and dashes made plain, ` // ` between faces, an ellipsis of three dots, runs of underscores as five."""
+    return _all_faces(folded(name))
+
+
+def native_lookup_key(name: Column) -> Column:
+    """lookup_key without Python, as native_key is."""
+    return _all_faces(_native_fold(name))
 
 
-#: Date formats in the order in which they are tried.
-DATE_FORMATS = ("dd/MM/yy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy")
+#: Shapes of dates in the order in which they are tried, with the groups of day, month and year; two digits from 69 on are of the last century.
+DATE_SHAPES = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (3, 2, 1)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{2})$", (1, 2, 3)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (1, 2, 3)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (2, 1, 3)),
+    (r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})(?:\s+(?:[01]?\d|2[0-3]):[0-5]?\d)?$", (1, 2, 3)),
+)
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def normal_date(text: Column) -> Column:
-    """ISO where it can be read, the text itself where it can't, null for nothing."""
-    trimmed = F.trim(text)
-    iso = F.when(trimmed.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substr(trimmed, F.lit(1), F.lit(10)))
-    shapes = {"dd/MM/yy": r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$", "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$", "MMMM d, yyyy": r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"}
-    # two digits from 69 on are of the last century
-    full = F.concat(F.substr(trimmed, F.lit(1), F.lit(6)), F.when(F.substr(trimmed, F.lit(7)) >= "69", "19").otherwise("20"), F.substr(trimmed, F.lit(7)))
-    read = {"dd/MM/yy": (full, "dd/MM/yyyy")}
-    tried = [F.when(trimmed.rlike(shapes[f]), F.date_format(F.try_to_timestamp(read.get(f, (trimmed, f))[0], F.lit(read.get(f, (trimmed, f))[1])), "yyyy-MM-dd")) for f in DATE_FORMATS]
-    return F.when(trimmed == "", None).otherwise(F.coalesce(iso, *tried, text))
+    """ISO where it can be read, the trimmed text where it can't, null for nothing."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    tried = [F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.substr(trimmed, F.lit(1), F.lit(10)))]
+    for shape, (d, m, y) in DATE_SHAPES:
+        day, month, year = (F.regexp_extract(trimmed, shape, g) for g in (d, m, y))
+        named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month)).cast("string")
+        month = F.when(month.rlike("^[0-9]"), month).otherwise(named)
+        year = F.when(F.length(year) == 2, F.concat(F.when(year >= "69", "19").otherwise("20"), year)).otherwise(year)
+        read = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+        tried.append(F.when(trimmed.rlike(shape), F.date_format(read, "yyyy-MM-dd")))
+    return F.when(text == "", None).otherwise(F.coalesce(*tried, trimmed))
 
 
 def is_iso_date(text: Column) -> Column:
@@ -65,17 +104,23 @@ def positive_quantity(value: Column) -> Column:
     return F.greatest(F.coalesce(value.try_cast("int"), F.lit(1)), F.lit(1))
 
 
+#: A quantity before a name, and a set with a number behind it.
+QUANTITY = r"^\s*(\d+)\s*(?:[xX]\s*)?(.+?)\s*$"
+SET_SUFFIX = r"\s+\([A-Za-z0-9]{2,8}\)\s+[A-Za-z0-9-]+\s*$"
+
+
 def parsed_line(line: Column) -> Column:
-    """struct(sideboard, quantity, name) of `SB: 2x name`; null for blanks and comments."""
-    body = F.trim(line)
-    pattern = r"^(?i:(sb:)\s*)?(?:(\d+)[xX]?\s+)?(.+)$"
-    q = F.regexp_extract(body, pattern, 2)
-    parts = F.struct((F.regexp_extract(body, pattern, 1) != "").alias("sideboard"), F.when(q == "", 1).otherwise(q.try_cast("int")).alias("quantity"), F.trim(F.regexp_extract(body, pattern, 3)).alias("name"))
-    return F.when((body != "") & ~body.rlike("^(#|//)"), parts)
+    """struct(sideboard, quantity, name) of `SB: 2x name`; null for blanks and comments.  A quantity of nought is one."""
+    body = F.regexp_replace(line, r"^\s+|\s+$", "")
+    rest = F.regexp_replace(body, r"^(?i:sb):\s*", "")
+    counted = rest.rlike(QUANTITY)
+    quantity = F.when(counted, F.greatest(F.lit(1), F.coalesce(F.regexp_extract(rest, QUANTITY, 1).try_cast("int"), F.lit(1)))).otherwise(1)
+    name = F.when(counted, F.regexp_extract(rest, QUANTITY, 2)).otherwise(rest)
+    return F.when((body != "") & ~body.rlike("^(#|//)"), F.struct(body.rlike("^(?i:sb):").alias("sideboard"), quantity.alias("quantity"), name.alias("name")))
 
 
 def without_set_suffix(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, r"\s*\([A-Za-z0-9]{2,6}\)\s*\S*$", ""))
+    return F.regexp_replace(name, SET_SUFFIX, "")
 
 
 def fill_forward(df: DataFrame, group: list[str], order: str, value: Column, out: str) -> DataFrame:
@@ -85,19 +130,19 @@ def fill_forward(df: DataFrame, group: list[str], order: str, value: Column, out
 
 
 #: Headings that open a zone of a list.
-ZONES = {"deck": "main", "main": "main", "mainboard": "main", "sideboard": "side", "commander": "command", "commanders": "command", "companion": "companion", "maybeboard": "ignored"}
+ZONES = {"commander": "commanders", "commanders": "commanders", "deck": "mainboard", "mainboard": "mainboard", "sideboard": "sideboard", "companion": "companion", "maybeboard": "ignored"}
 
 
-def zones(df: DataFrame, key: str, text: str, initial: str = "main") -> DataFrame:
+def zones(df: DataFrame, key: str, text: str, initial: str = "mainboard") -> DataFrame:
     """key, zone, name, quantity of sectioned lists: a heading holds until the next, `SB:` for its line only."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    word = F.lower(F.regexp_replace(F.trim("line"), r"[:\s]+$", ""))
+    lines = df.select(key, F.posexplode(F.split(text, "\r\n|[\n\r\u000b\u000c\u0085\u2028\u2029]")).alias("pos", "line"))
+    word = F.regexp_replace(F.lower(F.regexp_replace("line", r"^\s+|\s+$", "")), ":+$", "")
     heading = F.lit(None).cast("string")
     for name, zone in ZONES.items():
         heading = F.when(word == name, zone).otherwise(heading)
     marked = fill_forward(lines.withColumn("__h", heading), [key], "pos", F.col("__h"), "__zone")
     entry = marked.where(F.col("__h").isNull()).withColumn("e", parsed_line(F.col("line"))).where("e is not null")
-    zone = F.when(F.col("e.sideboard"), "side").otherwise(F.coalesce("__zone", F.lit(initial)))
+    zone = F.when(F.col("e.sideboard"), "sideboard").otherwise(F.coalesce("__zone", F.lit(initial)))
     return entry.withColumn("zone", zone).where("zone <> 'ignored'").groupBy(key, "zone", F.col("e.name").alias("name")).agg(F.sum("e.quantity").alias("quantity"))
 
 
@@ -155,9 +200,14 @@ def plural(word: Column, n: Column) -> Column:
     return F.concat_ws(" ", shown, F.when(n == 1, word).otherwise(F.concat(word, F.lit("s"))))
 
 
-def retry_delay(attempt: Column, blocked: Column) -> Column:
-    """Seconds before a job's next try; null where it must not be tried."""
-    return F.when(~blocked, F.when(attempt <= 1, 60).when(attempt == 2, 300).otherwise(900))
+#: Seconds before the first tries anew.
+RETRY_DELAYS = (60, 300, 900)
+
+
+def retry_delay(exit_code: Column, attempt: Column, blocked: Column, most: int = 3) -> Column:
+    """Seconds before a job that ended with exit_code runs again (attempt: from 0); null where it must not: only code 1 is tried anew, so often and no more."""
+    delay = F.get(F.array(*map(F.lit, RETRY_DELAYS[:most])), attempt.cast("int"))
+    return F.when((exit_code == 1) & ~blocked, delay)
 
 
 def warm_up(step: Column, steps: int, most: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.split import numbered
+
 
 def contexts(rows: DataFrame, context: str, item: str) -> DataFrame:
     """Distinct (ctx, item): quantities and repeats don't count."""
@@ -18,7 +20,7 @@ def frequencies(ctx: DataFrame) -> DataFrame:
 def vocabulary(ctx: DataFrame, least: int) -> DataFrame:
     """item, freq, idx: items of at least so many contexts, numbered by item from 2 (0 pads, 1 is unknown)."""
     kept = frequencies(ctx).where(F.col("freq") >= least)
-    return kept.withColumn("idx", F.row_number().over(Window.orderBy("item")) + 1)
+    return numbered(kept, ["item"], "__place").select("item", "freq", (F.col("__place") + 1).cast("int").alias("idx"))
 
 
 def cooccurrence(ctx: DataFrame) -> DataFrame:
@@ -116,3 +118,17 @@ def incidence_baselines(ctx: DataFrame, visible: DataFrame) -> DataFrame:
     norm = weight.groupBy("query").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     scored = hits.join(norm, "query").join(frequencies(ctx), "item").join(visible, ["query", "item"], "left_anti")
     return scored.select("query", "item", "hits", F.round(F.col("hits") / (F.sqrt("freq") * F.col("norm")), 9).alias("cosine"))
+
+
+def popular_unseen(train: DataFrame, visible: DataFrame, contexts: DataFrame, k: int) -> DataFrame:
+    """ctx, item, rank: the k most frequent items that a context doesn't show.
+
+    A context that shows n of the items looks at the first k + n alone: as many ranks are made for each context as it needs, joined by rank.
+    """
+    shown = visible.join(contexts, "ctx", "left_semi").select("ctx", "item").distinct()
+    wanted = contexts.join(shown.groupBy("ctx").agg(F.count("*").alias("n")), "ctx", "left").select("ctx", (F.coalesce("n", F.lit(0)) + k).alias("n"))
+    most = wanted.agg(F.coalesce(F.max("n"), F.lit(k))).first()[0]
+    top = popularity(train, k=most).select("item", F.col("rank").alias("pop"))
+    offered = wanted.select("ctx", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pop")).join(top, "pop").join(shown, ["ctx", "item"], "left_anti")
+    by = Window.partitionBy("ctx").orderBy("pop")
+    return offered.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("ctx", "item", "rank")

@@ -63,15 +63,21 @@ def two_key_first_wins(df: DataFrame, first: str, second: str, order: str) -> Da
     return df.join(kept.select(order).withColumn("__kept", F.lit(True)), order, "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
 
 
+#: Titles that tell a large context isn't an ordinary one, in the order in which they are tried, and its least size.
+QUALITY_TITLES = (
+    ("explicit_cube", r"\bcube\b"),
+    ("collection_or_pool", r"\b(collection|card pool|cardpool|inventory)\b"),
+    ("aggregate_or_reference", r"\b(archetype reference|reference list|all cards|merged lists?)\b"),
+)
+QUALITY_SIZE = 120
+
+
 def quality_reason(title: Column, size: Column) -> Column:
-    """Why a large context isn't an ordinary one; null otherwise."""
-    low = F.lower(title)
-    return (
-        F.when(size < 120, F.lit(None).cast("string"))
-        .when(low.rlike(r"\bcube\b"), "explicit_cube")
-        .when(low.rlike(r"\b(collection|pool|binder|inventory)\b"), "collection_or_pool")
-        .when(low.rlike(r"\b(all|every|list|reference|database)\b"), "aggregate_or_reference")
-    )
+    """Why a large context isn't an ordinary one; null otherwise.  A title alone never tells."""
+    out = F.lit(None).cast("string")
+    for reason, pattern in reversed(QUALITY_TITLES):
+        out = F.when(F.lower(title).rlike(pattern), reason).otherwise(out)
+    return F.when(size >= QUALITY_SIZE, out)
 
 
 def context_status(sets: DataFrame, smallest: int, largest: int, order: str = "ctx") -> DataFrame:

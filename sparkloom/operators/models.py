@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, Word2Vec
@@ -21,19 +22,31 @@ def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str, c
     for value, k in counts.items():
         weight = F.when(F.col(label) == value, n / (len(counts) * k)).otherwise(weight)
     prepared = lambda df: df.withColumn("__f", array_to_vector(F.col(vector)))
-    model = Pipeline(stages=[
+    scaler, fitted = Pipeline(stages=[
         StandardScaler(inputCol="__f", outputCol="__s", withMean=True),
-        LogisticRegression(featuresCol="__s", labelCol=label, weightCol="__w", regParam=1 / (c * n), standardization=False, predictionCol="guess", probabilityCol="__p", rawPredictionCol="__r"),
-    ]).fit(prepared(train).withColumn("__w", weight))
-    return model.transform(prepared(test)).withColumn("chance", vector_to_array("__p")[1]).drop("__f", "__s", "__p", "__r")
+        LogisticRegression(featuresCol="__s", labelCol=label, weightCol="__w", regParam=1 / (c * n), standardization=False),
+    ]).fit(prepared(train).withColumn("__w", weight)).stages
+    # the model's own transformation would send its summary, and so the session, to the tasks
+    scale = np.divide(1, scaler.std.toArray(), out=np.zeros(scaler.std.size), where=scaler.std.toArray() > 0)
+    rows = fitted.coefficientMatrix.toArray() * scale
+    margins = [_linear(vector, w, float(b)) for w, b in zip(rows, fitted.interceptVector.toArray() - rows @ scaler.mean.toArray(), strict=True)]
+    if len(margins) == 1:
+        return test.withColumns({"guess": (margins[0] > 0).cast("double"), "chance": 1 / (1 + F.exp(-margins[0]))})
+    held = test.withColumn("__m", F.array(*margins))
+    total = F.aggregate("__m", F.lit(0.0), lambda s, m: s + F.exp(m - F.array_max("__m")))
+    return held.withColumns({"guess": (F.array_position("__m", F.array_max("__m")) - 1).cast("double"), "chance": F.exp(F.col("__m")[1] - F.array_max("__m")) / total}).drop("__m")
+
+
+def _linear(vector: str, weights: np.ndarray, constant: float) -> Column:
+    return vectors.dot(F.col(vector), F.array(*(F.lit(float(w)) for w in weights))) + constant
 
 
 def ridge_probe(train: DataFrame, test: DataFrame, vector: str, value: str, alpha: float = 10.0) -> DataFrame:
     """test with `guess`: linear regression with a squared penalty."""
     n = train.count()
     prepared = lambda df: df.withColumn("__f", array_to_vector(F.col(vector)))
-    model = LinearRegression(featuresCol="__f", labelCol=value, regParam=alpha / max(1, n), standardization=False, predictionCol="guess").fit(prepared(train))
-    return model.transform(prepared(test)).drop("__f")
+    model = LinearRegression(featuresCol="__f", labelCol=value, regParam=alpha / max(1, n), standardization=False).fit(prepared(train))
+    return test.withColumn("guess", _linear(vector, model.coefficients.toArray(), model.intercept))
 
 
 def regression_errors(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.split import prefix_sums
+
 
 def by_name(df: DataFrame, query: list[str], score: str, name: str, out: str = "rank") -> DataFrame:
     """Deterministic rank: best score first, ties by name, absent scores last."""
@@ -65,9 +67,7 @@ def metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k: in
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by the rank sum, ties at their mean rank.  Equal scores are counted before anything is ordered."""
     at = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    # ordered by value in one place: distinct scores only
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = at.withColumn("mean_rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranks = prefix_sums(at, [score], F.col("n"), "below").withColumn("mean_rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranks.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -77,8 +77,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         at = df.groupBy(c).agg(F.count("*").alias("__n"))
-        below = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return at.select(c, (F.coalesce(F.sum("__n").over(below), F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
+        return prefix_sums(at, [c], F.col("__n"), "__below").select(c, (F.col("__below") + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
 
     return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 

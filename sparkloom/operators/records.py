@@ -1,56 +1,109 @@
-"""Records of nested lists: two legacy shapes brought to one, zones, contexts, catalogues and hyperedges."""
+"""Records of nested lists: older shapes brought to one, zones, contexts, catalogues and hyperedges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import lookup_key, name_key, normal_date
+from sparkloom.functions.text import lookup_key, name_key, native_key, normal_date, positive_quantity
 
 ENTRY = "struct<name:string,quantity:int,oracle_id:string>"
-#: Legacy JSON with every key that either shape uses; keys that aren't named here are dropped.
-LEGACY = (
-    "id string, deck_id string, url string, deck_url string, name string, format string, date string, source string, "
-    "mainboard array<struct<n:string,q:int,name:string,qty:int>>, main array<struct<n:string,q:int,name:string,qty:int>>, commanders array<struct<n:string,q:int,name:string,qty:int>>, cmds array<struct<n:string,q:int,name:string,qty:int>>, sideboard array<struct<n:string,q:int,name:string,qty:int>>"
-)
+#: Sites that a record's words, address or own keys name, keys of metadata with their older spellings, and further ones that are taken over.
+SITES = {"moxfield": ("user_bracket", "auto_bracket"), "mtgtop8": ("mtgo_url", "cmds")}
+METADATA = {"user_bracket": ("user_bracket", "userBracket"), "auto_bracket": ("auto_bracket", "autoBracket"), "placement": ("placement",), "players": ("players",), "hubs": ("hubs", "hubNames")}
+MORE = ("bracket", "is_autobracket", "placement_of", "mtgo_url")
+#: Where a source keeps its boards, in the order in which they are looked for.
+BOARDS = {
+    "moxfield": {"mainboard": ("mainboard", "main"), "commanders": ("commanders", "cmds")},
+    "mtgtop8": {"mainboard": ("main", "mainboard"), "commanders": ("cmds", "commanders", "commander")},
+    "": {"mainboard": ("mainboard", "main", "cards"), "commanders": ("commanders", "cmds", "commander")},
+}
 
 
-def _entries(column: Column) -> Column:
-    """One entry for each name: quantities summed, the first spelling kept."""
-    named = F.transform(F.coalesce(column, F.array()), lambda e: F.struct(F.coalesce(e["name"], e["n"]).alias("name"), F.greatest(F.coalesce(e["qty"], e["q"], F.lit(1)), F.lit(1)).alias("quantity")))
-    kept = F.filter(named, lambda e: F.trim(e["name"]) != "")
-    names = F.array_distinct(F.transform(kept, lambda e: F.lower(F.trim(e["name"]))))
+def board_entries(board: Column) -> Column:
+    """Entries of a board in JSON: a list of names or of objects, or a map of names to quantities or to objects.  One entry for each name key, quantities summed, the first spelling kept."""
 
-    def total(key: Column) -> Column:
-        same = F.filter(kept, lambda e: F.lower(F.trim(e["name"])) == key)
-        return F.struct(same[0]["name"].alias("name"), F.aggregate(same, F.lit(0), lambda n, e: n + e["quantity"]).alias("quantity"), F.lit(None).cast("string").alias("oracle_id"))
+    def field(e: Column, *names: str) -> Column:
+        return F.coalesce(*(F.get_json_object(e, f"$.{n}") for n in names))
 
-    return F.transform(names, total)
+    quantity = lambda e: positive_quantity(field(e, "quantity", "qty", "q"))
+    entry = lambda name, q, oracle: F.struct(F.trim(name).alias("name"), q.alias("quantity"), oracle.alias("oracle_id"))
+    none = F.lit(None).cast("string")
 
+    def listed(e: Column) -> Column:
+        own = entry(F.coalesce(F.nullif(field(e, "name", "n"), F.lit("")), field(e, "card.name")), quantity(e), F.nullif(field(e, "oracle_id"), F.lit("")))
+        return F.when(e.startswith("{"), own).when(~e.startswith("["), entry(e, F.lit(1), none))
 
-def infer_source(hint: str | None, source: Column, url: Column) -> Column:
-    """The hint, the record's own word, or the site that its address names."""
-    host = F.regexp_extract(url, r"^[a-z]+://(?:www\.)?([^/.]+)", 1)
-    return F.coalesce(F.lit(hint), F.when(F.trim(source) != "", F.lower(source)), F.when(host != "", host), F.lit("unknown"))
+    def mapped(e: Column) -> Column:
+        return entry(e["key"], F.when(e["value"].startswith("{"), quantity(e["value"])).otherwise(positive_quantity(e["value"])), none)
 
+    text = F.trim(board)
+    found = F.when(text.startswith("["), F.transform(F.from_json(text, "array<string>"), listed)).when(text.startswith("{"), F.transform(F.map_entries(F.from_json(text, "map<string,string>")), mapped))
+    keyed = F.transform(F.filter(F.coalesce(found, F.array().cast(f"array<{ENTRY}>")), lambda e: e["name"].isNotNull()), lambda e: F.struct(native_key(e["name"]).alias("key"), e.alias("e")))
+    kept = F.filter(keyed, lambda x: x["key"] != "")
 
-def normalized(raw: DataFrame, text: str, hint: str | None = None) -> DataFrame:
-    """Records of schema version 1 from JSON texts of the legacy shapes."""
-    r = raw.select(F.from_json(text, LEGACY).alias("r")).select("r.*")
-    url = F.coalesce("url", "deck_url")
-    main, heads, side = _entries(F.coalesce("mainboard", "main")), _entries(F.coalesce("commanders", "cmds")), _entries(F.col("sideboard"))
-    own = F.coalesce("id", "deck_id")
-    content = F.concat(F.lit("content-"), F.substr(F.sha2(F.to_json(F.struct(main.alias("m"), heads.alias("c"), side.alias("s"))), 256), F.lit(1), F.lit(16)))
-    source = infer_source(hint, F.col("source"), url)
-    return r.select(
-        F.lit(1).alias("schema_version"), F.concat_ws(":", source, F.coalesce(own, content)).alias("deck_id"), source.alias("source"), F.coalesce(own, content).alias("source_id"), url.alias("url"), "name", F.lower("format").alias("format"),
-        normal_date(F.col("date")).alias("date"), main.alias("mainboard"), heads.alias("commanders"), side.alias("sideboard"),
+    def total(key: Column) -> Column:
+        same = F.filter(kept, lambda x: x["key"] == key)
+        return F.struct(same[0]["e"]["name"].alias("name"), F.aggregate(same, F.lit(0), lambda n, x: n + x["e"]["quantity"]).alias("quantity"), same[0]["e"]["oracle_id"].alias("oracle_id"))
+
+    return F.transform(F.array_distinct(F.transform(kept, lambda x: x["key"])), total)
+
+
+def infer_source(hint: str | None, source: Column, url: Column, keys: Column) -> Column:
+    """The hint without dashes, the site that the record's own word, address or keys name, its own word, or `local`."""
+    if hint:
+        return F.lit(hint.lower().replace("-", ""))
+    word, where = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    out = F.when(word == "", "local").otherwise(word)
+    for site, own in reversed(SITES.items()):
+        out = F.when(word.contains(site) | where.contains(site) | F.arrays_overlap(keys, F.array(*map(F.lit, own))), site).otherwise(out)
+    return out
+
+
+def deck_fingerprint(commanders: Column, mainboard: Column, sideboard: Column) -> Column:
+    """SHA-256 of the JSON of sorted name keys and quantities, `commanders` and all other `cards`: order, spelling and splitting of entries don't matter."""
+
+    def pairs(entries: Column) -> Column:
+        quoted = lambda k: F.regexp_replace(F.regexp_replace(k, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+        shown = lambda e: F.concat(F.lit('["'), quoted(e["key"]), F.lit('",'), e["q"].cast("string"), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(entries), shown), ","), F.lit("]"))
+
+    keyed = lambda b: F.transform(b, lambda e: F.struct(native_key(e["name"]).alias("key"), e["quantity"].alias("q")))
+    cards = keyed(F.concat(mainboard, sideboard))
+    total = lambda k: F.struct(k.alias("key"), F.aggregate(F.filter(cards, lambda e: e["key"] == k), F.lit(0), lambda n, e: n + e["q"]).alias("q"))
+    summed = F.transform(F.array_distinct(F.transform(cards, lambda e: e["key"])), total)
+    return F.sha2(F.concat(F.lit('{"commanders":'), pairs(keyed(commanders)), F.lit(',"cards":'), pairs(summed), F.lit("}")), 256)
+
+
+def normalized(raw: DataFrame, text: str, hint: str | None = None, version: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of this schema version from JSON texts: records of it, of either site's older shapes, and others.  keep: columns of raw to go with them."""
+    get = lambda *names: F.coalesce(*(F.get_json_object(text, f"$.{n}") for n in names))
+    current = F.coalesce(get("schema_version").try_cast("int") == version, F.lit(False))
+    url, source = get("url", "deck_url"), infer_source(hint, get("source"), get("url", "deck_url"), F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")))
+    own = F.coalesce(get("source_id"), F.when(source == "moxfield", get("id")).otherwise(get("deck_id")), F.when(current, F.regexp_replace(get("deck_id"), "^[^:]*:", "")))
+    own = F.nullif(F.when(current & get("source_id").isNull() & (source != "moxfield"), F.regexp_replace(own, "^[^:]*:", "")).otherwise(own), F.lit(""))
+
+    def board(zone: str) -> Column:
+        of = lambda site: get(*BOARDS[site][zone])
+        return board_entries(F.when(current, get(zone)).when(source == "moxfield", of("moxfield")).when(source == "mtgtop8", of("mtgtop8")).otherwise(of("")))
+
+    inner = F.coalesce(F.from_json(get("metadata"), "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    known = {k: F.coalesce(F.try_element_at(inner, F.lit(k)), get(*old), *([F.lit("[]")] if k == "hubs" else [])) for k, old in METADATA.items()}
+    more = {k: F.coalesce(F.try_element_at(inner, F.lit(k)), get(k)) for k in MORE}
+    rest = F.map_filter(inner, lambda k, _: ~k.isin(*METADATA, *MORE))
+    named = F.map_filter(F.create_map(*(x for k, v in (known | more).items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull() | k.isin(*METADATA))
+    main, heads, side = board("mainboard"), board("commanders"), board_entries(get("sideboard"))
+    made = raw.select(
+        *keep, F.lit(version).alias("schema_version"), F.when(current, F.nullif(get("deck_id"), F.lit(""))).alias("__deck"), source.alias("source"), own.alias("source_id"), F.coalesce(F.nullif(url, F.lit("")), F.when((source == "moxfield") & own.isNotNull(), F.concat(F.lit("https://www.moxfield.com/decks/"), own))).alias("url"),
+        get("name").alias("name"), F.lower(F.coalesce(get("format"), F.lit("commander"))).alias("format"), normal_date(get("date", "createdAt")).alias("date"), heads.alias("commanders"), main.alias("mainboard"), side.alias("sideboard"), board_entries(get("companions")).alias("companions"), F.map_concat(rest, named).alias("metadata"),
     )
+    content = F.concat(F.lit("content-"), F.substr(deck_fingerprint(F.col("commanders"), F.col("mainboard"), F.col("sideboard")), F.lit(1), F.lit(16)))
+    return made.withColumn("deck_id", F.coalesce("__deck", F.concat_ws(":", "source", F.coalesce("source_id", content)))).drop("__deck")
 
 
 def known_entries(board: Column, names: Column) -> Column:
-    """Entries whose name is among an array of known keys (for small dictionaries; a semi-join of exploded entries otherwise)."""
-    return F.filter(board, lambda e: F.array_contains(names, F.lower(F.trim(e["name"]))))
+    """Entries whose name key is among an array of known keys (for small dictionaries; a semi-join of exploded entries otherwise)."""
+    return F.filter(board, lambda e: F.array_contains(names, native_key(e["name"])))
 
 
 def sane_context(items: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.tables import shared_table
+
 
 def fraction(key: Column) -> Column:
     """A number in [0, 1) from the first 12 hex digits of SHA-256."""
@@ -21,12 +23,29 @@ def order_key(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)), 256)
 
 
+def prefix_sums(df: DataFrame, order: list[Column | str], value: Column, out: str) -> DataFrame:
+    """df with the sum of value over all rows before a row in the order, which must be total: rows are dealt out by ranges, and each range starts where the sums of those before it end."""
+    keys = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns({k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order, strict=True)}).withColumn("__value", value)
+    dealt = shared_table(keyed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("__part").agg(F.sum("__value").alias("__n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__part", F.coalesce(F.sum("__n").over(before.orderBy("__part")), F.lit(0)).alias("__start"))  # a row a range
+    inside = F.coalesce(F.sum("__value").over(before.partitionBy("__part").orderBy(*keys)), F.lit(0))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(out, inside + F.col("__start")).select(*df.columns, out)
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df with its place (from 1) in the order."""
+    return prefix_sums(df, order, F.lit(1).cast("long"), "__before").withColumn(out, (F.col("__before") + 1).cast("long")).drop("__before")
+
+
 def group_split(groups: DataFrame, key: str, seed: int, train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """key, split with exact shares: groups in hashed order, cut at floors."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order_key(seed, F.col(key)), key))
-    split = F.when(place <= F.floor(n * train), "train").when(place <= F.floor(n * (train + validation)), "validation").otherwise("test")
-    return groups.select(key).distinct().withColumn("split", split)
+    places = numbered(groups.select(key).distinct(), [order_key(seed, F.col(key)), key], "__place")
+    n = F.broadcast(places.agg(F.count("*").alias("__all")))
+    split = F.when(F.col("__place") <= F.floor(F.col("__all") * train), "train").when(F.col("__place") <= F.floor(F.col("__all") * (train + validation)), "validation").otherwise("test")
+    return places.crossJoin(n).select(key, split.alias("split"))
 
 
 def mask(members: DataFrame, group: str, member: str, ratio: float, seed: int) -> DataFrame:
@@ -42,8 +61,10 @@ def leave_one_out(sets: DataFrame, group: str, items: str) -> DataFrame:
 
 
 def replacement_slots(targets: DataFrame, context: list[str], target: str) -> DataFrame:
-    """context, alternatives: targets that fit the same slot, where there are several."""
-    return targets.groupBy(*context).agg(F.array_sort(F.collect_set(target)).alias("alternatives")).where(F.size("alternatives") > 1)
+    """context, target: targets that fit the same slot, where there are several; a row each, so a slot that all fit stays bounded."""
+    fits = targets.select(*context, target).distinct()
+    several = fits.groupBy(*context).agg(F.min(target).alias("__a"), F.max(target).alias("__b")).where("__a <> __b")
+    return fits.join(several.select(*context), context, "left_semi")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, most: int, seed: int) -> DataFrame:
@@ -65,7 +86,7 @@ def round_robin(df: DataFrame, role: str, stratum: str, item: str, weight: str)
     turn = df.withColumn("turn", F.row_number().over(by))
     first = turn.withColumn("__n", F.row_number().over(Window.partitionBy(item).orderBy("turn", role, stratum))).where("__n = 1").drop("__n", "turn")
     closed = first.withColumn("turn", F.row_number().over(by))
-    return closed.withColumn("pick", F.row_number().over(Window.orderBy("turn", role, stratum))).select(role, stratum, item, "pick")
+    return numbered(closed.select(role, stratum, item, "turn"), ["turn", role, stratum], "pick").select(role, stratum, item, "pick")
 
 
 def balanced_groups(groups: DataFrame, key: str, size: str, shares: dict[str, float]) -> DataFrame:

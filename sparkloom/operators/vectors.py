@@ -41,6 +41,25 @@ def neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos_r"), key))).where(F.col("rank") <= k)
 
 
+def near_pairs(df: DataFrame, key: str, vector: str, least: float = 0.9999) -> DataFrame:
+    """a, b, cosine: pairs (a < b) of vectors with at least that cosine; vectors of length nought take no part.
+
+    Of vectors with equal directions the first stands for all: it is paired with each of them and with the first of others.
+    Unit vectors that are so near differ by at most sqrt(2 - 2 least) in every component, so cells of that width over three
+    components and their neighbours hold all of a vector's partners.
+    """
+    width = float(np.sqrt(2 - 2 * least)) * (1 + 1e-9)
+    units = df.where(norm(F.col(vector)) > 0).select(F.col(key).alias("id"), unit(F.col(vector)).alias("u"))
+    leads = units.groupBy("u").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    copies = units.join(leads.where("n > 1").withColumnRenamed("id", "a"), "u").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    cells = F.transform(F.slice("u", 1, 3), lambda x: F.floor(x / width))
+    near = F.array(*(F.zip_with("cell", F.array(*map(F.lit, (i, j, k))), lambda c, d: c + F.coalesce(d, F.lit(0))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    own = leads.select("id", "u", cells.alias("cell"))
+    left = own.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.explode(F.array_distinct(near)).alias("cell"))
+    pairs = left.join(own.select(F.col("id").alias("b"), F.col("u").alias("ub"), "cell"), "cell").where("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine"))
+    return pairs.where(F.col("cosine") >= least).unionByName(copies)
+
+
 def gram(df: DataFrame, left: str, right: str) -> np.ndarray:
     """The sum of outer products, size x size whatever the rows."""
     pairs = df.select(F.posexplode(left).alias("i", "x"), F.col(right).alias("__r")).select("i", "x", F.posexplode("__r").alias("j", "y"))

@@ -13,6 +13,9 @@ from sparkloom.sources.tables import read, shared_table
 #: Status that a part's type stands for in the rule queries.
 LEGAL = {"ECONOMY": "legal", "STANDARD": "legal", "SMALL": "legal", "MEDIUM": "legal", "LARGE": "restricted", "PROMO": "banned"}
 
+#: Titles of the quality query.
+TITLES = ("My Cube of", "cubes by", "Card Pool", "pool", "cardpool from", "The Collection", "binder", "inventory", "archetype reference", "Reference List", "reference", "all cards of", "merged list", "merged lists", "every database", "collections")
+
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.set_fingerprints(cooc.contexts(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"))
@@ -22,7 +25,8 @@ def exact_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a text may be a third of all rows: counts and firsts are combined before the exchange, and joined back by digest."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
     per = docs.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.count("*").alias("group_size"))
-    return docs.join(per, "fp").select("doc_id", (F.col("doc_id") == F.col("lead")).cast("int").alias("kept"), "group_size")
+    joined = docs.join(per.withColumnRenamed("fp", "__fp"), F.col("fp").eqNullSafe(F.col("__fp")))  # texts that are null are one group
+    return joined.select("doc_id", (F.col("doc_id") == F.col("lead")).cast("int").alias("kept"), "group_size")
 
 
 def first_of_each_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +60,9 @@ def context_size_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    reason = dedup.quality_reason(F.concat_ws(" ", F.col("source"), F.substring_index("text", "\n", 1)), F.col("n_chars"))
-    return docs.select("doc_id", F.coalesce(reason, F.lit("")).alias("reason"))
+    """Titles made of a phrase and the source; only some phrases say that a large context is no ordinary one."""
+    title = F.concat_ws(" ", F.array(*map(F.lit, TITLES))[(F.col("doc_id") % len(TITLES)).cast("int")], F.col("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(dedup.quality_reason(title, F.col("n_chars")), F.lit("")).alias("reason"))
 
 
 def provenance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ def accept_reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remaining_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.remaining(_parts_of_orders(spark, sf_dir), "l_orderkey", "l_partkey", "q", F.coalesce("limit", F.lit(1000)))
+    return rules.remaining(_parts_of_orders(spark, sf_dir), "l_orderkey", "l_partkey", "q", "limit")
 
 
 def identity_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +109,14 @@ def identity_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested records, some with faults that their keys put in."""
-    entry = F.struct(F.when(F.col("l_partkey") % 97 == 0, "").otherwise(F.col("l_partkey").cast("string")).alias("name"), (F.col("l_quantity").cast("int") - F.when(F.col("l_partkey") % 89 == 0, 60).otherwise(0)).alias("quantity"))
-    zone = lambda status: F.collect_list(F.when(F.col("l_linestatus") == status, entry))
+    k = F.col("o_orderkey")
+    entry = F.struct("l_linenumber", F.when(F.col("l_partkey") % 97 == 0, " A- / x").otherwise(F.col("l_partkey").cast("string")).alias("name"), (F.col("l_quantity").cast("int") - F.when(F.col("l_partkey") % 89 == 0, 60).otherwise(0)).alias("quantity"))
+    zone = lambda status: F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == status, entry)))
     boards = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(zone("O").alias("mainboard"), zone("F").alias("sideboard"))
-    records = read(spark, sf_dir, "orders").join(boards, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, 2).otherwise(1).alias("schema_version"), F.col("o_orderkey").cast("string").alias("deck_id"), F.when(F.col("o_orderkey") % 40 == 0, " ").otherwise(F.col("o_orderstatus")).alias("source"),
-        F.col("o_custkey").cast("string").alias("source_id"), "mainboard", "sideboard", F.when(F.col("mainboard").isNotNull(), F.array().cast("array<struct<name:string,quantity:int>>")).alias("commanders"),
+    none = F.array().cast("array<struct<name:string,quantity:int>>")
+    records = read(spark, sf_dir, "orders").join(boards, k == F.col("l_orderkey"), "left").select(
+        "o_orderkey", F.when(k % 50 == 0, 2).when(k % 51 != 0, 1).alias("schema_version"), F.when(k % 30 == 0, "").otherwise(k.cast("string")).alias("deck_id"), F.when(k % 40 != 0, F.col("o_orderstatus")).alias("source"),
+        F.when(k % 60 != 0, F.create_map(F.lit("a"), F.lit("b"))).alias("metadata"), "mainboard", "sideboard", F.when(F.col("mainboard").isNotNull(), none).alias("commanders"), F.when(k % 2 == 0, none).alias("companions"),
     )
     return records.select("o_orderkey", F.array_join(rules.record_issues(), "; ").alias("issues"))
 
@@ -142,7 +148,7 @@ def lookup_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").where("p_size <= 20")
+    part = read(spark, sf_dir, "part")
     return lookup.signature_peers(part, ["p_brand", "p_type", "p_size"], "p_partkey").groupBy("a").agg(F.count("*").alias("peers"))
 
 
@@ -171,10 +177,9 @@ def masked_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leave_one_out_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that fill the same place of otherwise equal orders."""
-    loo = split.leave_one_out(_sets(spark, sf_dir).where("n between 2 and 4"), "ctx", "items").select("target", F.array_join("rest", ",").alias("context"))
-    slots = split.replacement_slots(loo, ["context"], "target")
-    return slots.select("context", F.array_join("alternatives", ",").alias("alternatives"))
+    """Parts that fill the same place of otherwise equal orders, a row each."""
+    loo = split.leave_one_out(_sets(spark, sf_dir), "ctx", "items").select("target", F.array_join("rest", ",").alias("context"))
+    return split.replacement_slots(loo, ["context"], "target")
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,26 +262,28 @@ SQL = {
     "multiset_fingerprints": "WITH t AS (SELECT l_orderkey, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, sha256(string_agg(l_partkey || ':' || q, ',' ORDER BY l_partkey)) AS fingerprint FROM t GROUP BY l_orderkey",
     "context_quarantine_audit": f"WITH {SET} SELECT CASE WHEN ctx > first THEN 'duplicate' WHEN n < 2 THEN 'too_small' WHEN n > 10 THEN 'quarantined' ELSE 'accepted' END AS status, count(*) AS contexts FROM (SELECT *, min(ctx) OVER (PARTITION BY fingerprint) AS first FROM sets) GROUP BY 1",
     "context_size_profile": f"WITH {SET} SELECT count(*) AS contexts, round(avg(n), 6) AS mean_r, round(stddev_samp(n), 6) AS sd_r, " + ", ".join(f"quantile_cont(n, {m / 100}) AS p{m}" for m in (25, 50, 75, 90, 95, 99)) + " FROM sets",
-    "quality_rules": r"SELECT doc_id, CASE WHEN n_chars < 120 THEN '' WHEN regexp_matches(t, '\bcube\b') THEN 'explicit_cube' WHEN regexp_matches(t, '\b(collection|pool|binder|inventory)\b') THEN 'collection_or_pool' WHEN regexp_matches(t, '\b(all|every|list|reference|database)\b') THEN 'aggregate_or_reference' ELSE '' END AS reason FROM (SELECT doc_id, n_chars, lower(source || ' ' || split_part(text, chr(10), 1)) AS t FROM documents)",
+    "quality_rules": "SELECT doc_id, CASE WHEN n_chars < 120 THEN '' WHEN doc_id % 16 = 0 THEN 'explicit_cube' WHEN doc_id % 16 IN (2, 4, 5, 7) THEN 'collection_or_pool' WHEN doc_id % 16 IN (8, 9, 11, 12, 13) THEN 'aggregate_or_reference' ELSE '' END AS reason FROM documents",
     "provenance_labels": f"WITH {SET} SELECT fingerprint, count(DISTINCT ctx) AS contexts, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS labels, min(ctx) AS first FROM sets JOIN orders ON o_orderkey = ctx JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY fingerprint",
     "set_rule_issues": f"WITH {LINES} SELECT code, count(*) AS issues, count(DISTINCT l_orderkey) AS orders FROM issues GROUP BY code",
     "accept_reject_report": f"WITH {LINES} SELECT code, count(DISTINCT l_orderkey) AS rows FROM issues GROUP BY code UNION ALL SELECT 'accepted', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM issues)",
-    "remaining_copies": f"WITH {LINES} SELECT l_orderkey, l_partkey, CAST(greatest(0, max(coalesce(lim, 1000)) - sum(q)) AS BIGINT) AS remaining FROM lines GROUP BY 1, 2",
+    "remaining_copies": f"WITH {LINES} SELECT l_orderkey, l_partkey, CASE WHEN count(lim) = count(*) THEN CAST(greatest(0, max(lim) - sum(q)) AS BIGINT) END AS remaining FROM lines GROUP BY 1, 2",
     "identity_mask": "WITH i AS (SELECT p_brand, bit_or(p_size % 32) AS identity FROM part WHERE p_type = 'SMALL' GROUP BY p_brand) SELECT i.p_brand, identity, count(*) AS allowed FROM i JOIN part p ON (p.p_size % 32) & xor(31, identity) = 0 GROUP BY 1, 2",
-    "record_validation": """WITH b AS (SELECT l_orderkey, bool_or(l_linestatus = 'O' AND l_partkey % 97 = 0) AS mn, bool_or(l_linestatus = 'O' AND l_partkey % 89 = 0) AS mq, bool_or(l_linestatus = 'F' AND l_partkey % 97 = 0) AS sn, bool_or(l_linestatus = 'F' AND l_partkey % 89 = 0) AS sq FROM lineitem GROUP BY 1)
-SELECT o_orderkey, concat_ws('; ', CASE WHEN l_orderkey IS NULL THEN 'missing mainboard; missing commanders; missing sideboard' END, CASE WHEN o_orderkey % 50 = 0 THEN 'unsupported schema_version' END, CASE WHEN o_orderkey % 40 = 0 THEN 'empty source' END,
-CASE WHEN mn THEN 'mainboard: entry without a name' END, CASE WHEN mq THEN 'mainboard: quantity below one' END, CASE WHEN sn THEN 'sideboard: entry without a name' END, CASE WHEN sq THEN 'sideboard: quantity below one' END) AS issues FROM orders LEFT JOIN b ON o_orderkey = l_orderkey""",
+    "record_validation": """WITH z AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, CASE WHEN l_partkey % 97 = 0 THEN ' A- / x' ELSE CAST(l_partkey AS VARCHAR) END, CAST(l_quantity AS INTEGER) - CASE WHEN l_partkey % 89 = 0 THEN 60 ELSE 0 END) - 1 AS i, CASE WHEN l_partkey % 97 = 0 THEN '] must have a name' WHEN l_partkey % 89 = 0 AND CAST(l_quantity AS INTEGER) < 61 THEN '].quantity must be a positive integer' END AS what FROM lineitem),
+m AS (SELECT l_orderkey, string_agg(CASE l_linestatus WHEN 'O' THEN 'mainboard[' ELSE 'sideboard[' END || i || what, '; ' ORDER BY l_linestatus DESC, i) AS said FROM z GROUP BY 1)
+SELECT k AS o_orderkey, concat_ws('; ', CASE WHEN k % 50 <> 0 AND k % 51 = 0 THEN 'missing schema_version' END, CASE WHEN k % 40 = 0 THEN 'missing source' END, CASE WHEN l_orderkey IS NULL THEN 'missing commanders; missing mainboard; missing sideboard' END, CASE WHEN k % 60 = 0 THEN 'missing metadata' END,
+CASE WHEN k % 50 = 0 OR k % 51 = 0 THEN 'schema_version must be 1' END, CASE WHEN k % 30 = 0 OR k % 40 = 0 THEN 'deck_id and source must be non-empty' END, CASE WHEN l_orderkey IS NULL THEN 'commanders must be a list; mainboard must be a list; sideboard must be a list' END, said, CASE WHEN k % 60 = 0 THEN 'metadata must be an object' END) AS issues
+FROM (SELECT o_orderkey AS k FROM orders) LEFT JOIN m ON k = l_orderkey""",
     "prioritized_lookup": """WITH e AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1'), a AS (SELECT p_name || '|' || p_type AS k, p_partkey AS v FROM part WHERE p_size > 25 QUALIFY row_number() OVER (PARTITION BY p_name || '|' || p_type ORDER BY p_retailprice DESC, p_partkey) = 1), m AS (SELECT p_name AS k, p_partkey AS v FROM part WHERE p_size > 40 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) = 1)
 SELECT p.p_partkey, coalesce(e.p_partkey, a.v, m.v) AS resolved, CASE WHEN e.p_partkey IS NOT NULL THEN 'id' WHEN a.v IS NOT NULL THEN 'alias' WHEN m.v IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how FROM part p LEFT JOIN e ON e.p_partkey = p.p_partkey LEFT JOIN a ON a.k = p.p_name || '|' || p.p_type LEFT JOIN m ON m.k = p.p_name""",
     "unique_dimension_audit": "SELECT p_name || '|' || p_brand || '|' || p_type AS k, count(DISTINCT p_partkey) AS identities, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) ELSE -1 END AS identity FROM part GROUP BY 1",
     "lookup_coverage": "WITH k AS (SELECT p_name || '|' || p_brand AS k, p_brand, p_size FROM part), u AS (SELECT k, count(*) AS n, max(p_size) AS m FROM k GROUP BY k) SELECT p_brand, CASE WHEN m <= 10 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'included' END AS status, count(*) AS parts FROM k JOIN u USING (k) GROUP BY 1, 2",
-    "signature_peers": "SELECT a.p_partkey AS a, count(*) AS peers FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_size <= 20 GROUP BY 1",
+    "signature_peers": "SELECT a.p_partkey AS a, count(*) AS peers FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey GROUP BY 1",
     "leakage_filter": f"WITH ctx AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS item FROM lineitem), p AS (SELECT a.item AS a, b.item AS b, {FRACTION.format('a.ctx')} < 0.9 AS train FROM ctx a JOIN ctx b ON a.ctx = b.ctx AND a.item < b.item) SELECT count(*) AS pairs, CAST(sum(n) AS BIGINT) AS joint FROM (SELECT a, b, count(*) AS n FROM p GROUP BY a, b HAVING NOT bool_or(train))",
     "hash_partition_groups": f"WITH d AS (SELECT sha256(text) AS fp FROM documents) SELECT {PARTITION.format('fp', 'fp')} AS split, count(*) AS docs, count(DISTINCT fp) AS groups FROM d GROUP BY 1",
     "exact_group_split": "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('42:' || c_custkey), c_custkey) AS p, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN p <= floor(n * (0.8::DOUBLE + 0.1::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM r",
     "masked_members": "WITH ctx AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS item FROM lineitem) SELECT ctx, item FROM ctx QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY sha256('7:' || ctx || ':' || item), item) <= greatest(1, round_even(count(*) OVER (PARTITION BY ctx) * 0.25, 0))",
-    "leave_one_out_slots": """WITH ctx AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS item FROM lineitem), s AS (SELECT ctx FROM ctx GROUP BY ctx HAVING count(*) BETWEEN 2 AND 4), l AS (SELECT t.item AS target, string_agg(CAST(r.item AS VARCHAR), ',' ORDER BY r.item) AS context FROM ctx t JOIN s USING (ctx) JOIN ctx r ON r.ctx = t.ctx AND r.item <> t.item GROUP BY t.ctx, t.item)
-SELECT context, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS alternatives FROM (SELECT DISTINCT context, target FROM l) GROUP BY context HAVING count(*) > 1""",
+    "leave_one_out_slots": """WITH ctx AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS item FROM lineitem), l AS (SELECT t.item AS target, coalesce(string_agg(CAST(r.item AS VARCHAR), ',' ORDER BY r.item), '') AS context FROM ctx t LEFT JOIN ctx r ON r.ctx = t.ctx AND r.item <> t.item GROUP BY t.ctx, t.item)
+SELECT context, target FROM (SELECT DISTINCT context, target FROM l) QUALIFY count(*) OVER (PARTITION BY context) > 1""",
     "stratified_sample": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY sha256('42:' || event_id), event_id) <= 50",
     "stratified_round_robin": """WITH e AS (SELECT event_type AS role, CAST(floor(hour(ts) / 6) AS INTEGER) AS stratum, user_id AS item, count(*) AS weight FROM events GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY role, stratum ORDER BY weight DESC, item) AS turn FROM e),
 o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY item ORDER BY turn, role, stratum) = 1), c AS (SELECT role, stratum, item, row_number() OVER (PARTITION BY role, stratum ORDER BY weight DESC, item) AS turn FROM o) SELECT role, stratum, item, row_number() OVER (ORDER BY turn, role, stratum) AS pick FROM c""",

@@ -41,7 +41,7 @@ def fused_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_cka_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 9, 8).alias("b"))
+    rows = read(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     return spark.range(1).select(F.round(F.lit(vectors.linear_cka(rows, "a", "b")), 6).alias("cka_r"))
 
 
@@ -107,16 +107,16 @@ def text_tag_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", tx.evidence(F.col("text"), {k: TAGS[k] for k in ("mail", "secret")}).alias("e"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", tx.evidence(F.col("text"), TAGS).alias("e"))
     return docs.select("doc_id", F.explode("e").alias("tag", "span"))
 
 
 def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates written in six styles and read back."""
-    styles = ["yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yy", "dd/MM/yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy"]
-    written = F.coalesce(*(F.when(F.col("o_orderkey") % 7 == i, F.date_format("o_orderdate", s)) for i, s in enumerate(styles)), F.lit("some day"))
-    rows = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("style"), "o_orderdate", tx.normal_date(written).alias("day"))
-    return rows.groupBy("style").agg(F.count("*").alias("rows"), F.count_if(F.col("day") == F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ok"), F.count_if(tx.is_iso_date(F.col("day"))).alias("iso"))
+    """Order dates written in eleven styles and read back; three of them aren't known."""
+    styles = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-M-d", "dd/MM/yy", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MMM-yyyy HH:mm", "d-MMM-yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "yyyy-MM-ddX"]
+    written = F.coalesce(*(F.when(F.col("o_orderkey") % 11 == i, F.date_format("o_orderdate", s.replace("X", "'.'"))) for i, s in enumerate(styles)))
+    day = tx.normal_date(F.concat(F.lit(" "), written, F.lit(" ")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), tx.is_iso_date(day).cast("int").alias("iso"))
 
 
 def sectioned_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +171,8 @@ SQL = {
 s AS (SELECT b.label AS of, a.vec_id, a.label, round({COS}, 6) AS cos_r FROM v a CROSS JOIN c b), r AS (SELECT *, count(*) OVER (PARTITION BY of ORDER BY cos_r DESC) AS rank FROM s) SELECT label, vec_id, cos_r, rank FROM r WHERE of = label""",
     "vector_norm_audit": f"WITH {VEC}, n AS (SELECT label, len(v) AS dims, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM v) SELECT label, dims, count(*) AS n, count(*) FILTER (norm = 0) AS zeros, min(norm) AS least, max(norm) AS most FROM n GROUP BY label, dims",
     "fused_views": f"WITH {VEC}, h AS (SELECT vec_id, v[1:32] AS a, v[33:64] AS b FROM v), n AS (SELECT *, sqrt(list_dot_product(a, a)) AS na, sqrt(list_dot_product(b, b)) AS nb FROM h) SELECT vec_id, len(a) + len(b) AS dims, round(sqrt((na > 0)::INT + (nb > 0)::INT), 6) AS norm_r, round(list_dot_product(a, b) / (na * nb), 6) AS dot_r FROM n",
-    "linear_cka_blocks": f"""WITH {VEC}, c AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v), m AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM c WHERE i <= 16), g AS (SELECT p.i, q.i AS j, sum(p.x * q.x) AS g FROM m p JOIN m q USING (vec_id) GROUP BY 1, 2)
-SELECT round(sum(g * g) FILTER (i <= 8 AND j > 8) / (sqrt(sum(g * g) FILTER (i <= 8 AND j <= 8)) * sqrt(sum(g * g) FILTER (i > 8 AND j > 8))), 6) AS cka_r FROM g""",
+    "linear_cka_blocks": f"""WITH {VEC}, c AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v), m AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM c), g AS (SELECT p.i, q.i AS j, sum(p.x * q.x) AS g FROM m p JOIN m q USING (vec_id) GROUP BY 1, 2)
+SELECT round(sum(g * g) FILTER (i <= 32 AND j > 32) / (sqrt(sum(g * g) FILTER (i <= 32 AND j <= 32)) * sqrt(sum(g * g) FILTER (i > 32 AND j > 32))), 6) AS cka_r FROM g""",
     "probe_label_auc": AUC.format("quality") + " UNION ALL " + AUC.format("toxic"),
     "probe_f1": "WITH d AS (SELECT quality AS t, CAST(n_chars > 400 AS INTEGER) AS g FROM documents JOIN labels USING (doc_id)), l AS (SELECT DISTINCT t AS label FROM d UNION SELECT DISTINCT g FROM d) SELECT label, round(2 * count(*) FILTER (t = label AND g = label) / (count(*) FILTER (t = label) + count(*) FILTER (g = label)), 9) AS f1_r FROM d CROSS JOIN l GROUP BY label",
     "frequency_price_spearman": "WITH s AS (SELECT p_size AS y, count(*) AS x FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y FROM s) SELECT round(corr(x, y), 6) AS spearman_r FROM r",
@@ -183,8 +183,8 @@ SELECT round(sum(g * g) FILTER (i <= 8 AND j > 8) / (sqrt(sum(g * g) FILTER (i <
     "url_params": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page_param FROM pages",
     "html_links": "WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS href FROM l",
     "text_tag_signature": "WITH t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in TAGS.items()) + "], lambda x: x IS NOT NULL) AS l FROM documents), e AS (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN ['other'] ELSE l END) AS tag FROM t) SELECT tag, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM e GROUP BY tag",
-    "tag_evidence": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS tag, regexp_extract(text, '{TAGS[n]}', 0) AS span FROM documents WHERE regexp_matches(text, '{TAGS[n]}')" for n in ("mail", "secret")),
-    "date_normalize": "SELECT o_orderkey % 7 AS style, count(*) AS rows, CASE WHEN o_orderkey % 7 = 6 THEN 0 ELSE count(*) END AS ok, CASE WHEN o_orderkey % 7 = 6 THEN 0 ELSE count(*) END AS iso FROM orders GROUP BY 1",
+    "tag_evidence": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS tag, regexp_extract(text, '{TAGS[n]}', 0) AS span FROM documents WHERE regexp_matches(text, '{TAGS[n]}')" for n in TAGS),
+    "date_normalize": "WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 5 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m') WHEN o_orderkey % 11 = 8 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN o_orderkey % 11 = 9 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN o_orderkey % 11 = 10 THEN strftime(o_orderdate, '%Y-%m-%d.') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders) SELECT o_orderkey, day, CAST(o_orderkey % 11 < 8 AS INTEGER) AS iso FROM d",
     "sectioned_fill_forward": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations",
     "year_windows": "WITH s AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1), y AS (SELECT *, unnest(range(year(a), year(b) + 1)) AS y FROM s) SELECT o_custkey, CAST(y AS INTEGER) AS year, strftime(greatest(a, make_date(y, 1, 1)), '%Y-%m-%d') AS first, strftime(least(b, make_date(y, 12, 31)), '%Y-%m-%d') AS last FROM y",
     "repeated_page_detect": "WITH p AS (SELECT user_id % 3 AS job, CAST(floor(event_id / 25) AS BIGINT) AS page, sha256(string_agg(DISTINCT event_type, chr(10) ORDER BY event_type)) AS fp FROM events GROUP BY 1, 2) SELECT job, page, CAST(coalesce(lag(fp) OVER (PARTITION BY job ORDER BY page) = fp, false) AS INTEGER) AS repeated FROM p",

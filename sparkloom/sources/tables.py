@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +16,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in this one process (tests), a temporary one that goes with it."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = getattr(context, "_sparkloom_dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-        context._sparkloom_dir = folder
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(context, "_sparkloom_dir", None)
+        if folder is None:
+            folder = context._sparkloom_dir = tempfile.mkdtemp(prefix="sparkloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 

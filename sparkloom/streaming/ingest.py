@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.dedup import keep_first
 from sparkloom.sources.tables import shared_dir
 
 
@@ -20,27 +21,32 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
 class Sink:
     """A Parquet table to which each batch adds the rows whose keys it doesn't hold.
 
-    The table itself is the state: after a restart, or if a batch is replayed because its offset wasn't committed, what is
-    there already is left out again.  Every batch is written to a folder named by its number, so a second try replaces the first.
+    The table itself is the state: a new Sink on the same path knows all batches that were written to an end, and a batch that is
+    replayed under its own number, because its offset wasn't committed, replaces what it wrote before.
     """
 
     def __init__(self, spark: SparkSession, keys: list[str], order: str, path: str | None = None) -> None:
         self.spark, self.keys, self.order = spark, keys, order
         self.path = path or f"{shared_dir(spark)}/sparkloom/sink-{uuid.uuid4().hex}"
-        self.written: list[str] = []
 
-    def read(self, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*self.written) if self.written else self.spark.createDataFrame([], schema)
+    def written(self) -> list[str]:
+        """Folders of the batches that were written to an end, as the store has them now."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        store = root.getFileSystem(conf)
+        if not store.exists(root):
+            return []
+        names = [f.getPath().getName() for f in store.listStatus(root) if f.isDirectory()]
+        return [f"{self.path}/{n}" for n in sorted(names) if store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def read(self, schema, but: str | None = None) -> DataFrame:
+        there = [w for w in self.written() if w != but]
+        return self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
 
     def add(self, batch: DataFrame, name: str) -> None:
-        rest = [c for c in batch.columns if c not in self.keys]
-        first = batch.groupBy(*self.keys).agg(F.min_by(F.struct(*rest), F.col(self.order)).alias("r")).select(*self.keys, "r.*").select(*batch.columns)
-        held = self.read(batch.schema).select(*self.keys)
-        fresh = first.join(held, self.keys, "left_anti") if self.written else first
         where = f"{self.path}/{name}"
-        fresh.write.mode("overwrite").parquet(where)
-        if where not in self.written:
-            self.written.append(where)
+        first = keep_first(batch, self.keys, self.order)
+        first.join(self.read(batch.schema, where).select(*self.keys), self.keys, "left_anti").write.mode("overwrite").parquet(where)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], order: str, runs: int = 1) -> DataFrame:

@@ -44,13 +44,13 @@ def test_sets_and_vectors(spark):
 
 def test_records(spark):
     old = [
-        {"id": "7", "url": "https://www.site.org/7", "name": "one", "format": "EDH", "date": "2024-01-02", "mainboard": [{"n": "Bolt", "q": 2}, {"n": "bolt ", "q": 1}, {"n": "", "q": 3}], "commanders": [{"n": "Boss", "q": 1}]},
+        {"deck_id": "7", "source": "Site", "url": "https://www.site.org/7", "name": "one", "format": "EDH", "date": "2024-01-02", "mainboard": [{"n": "Bolt", "q": 2}, {"n": "bolt ", "q": 1}, {"n": "", "q": 3}], "commanders": [{"n": "Boss", "q": 1}]},
         {"deck_url": "u", "date": "05/06/24", "main": [{"name": "Bolt", "qty": 4}], "cmds": []},
     ]
     raw = spark.createDataFrame([(json.dumps(r),) for r in old], "t string")
-    a, b = sorted(records.normalized(raw, "t").collect(), key=lambda r: len(r.deck_id))
-    assert a.deck_id == "site:7" and [(e.name, e.quantity) for e in a.mainboard] == [("Bolt", 3)] and a.commanders[0].name == "Boss"
-    assert b.source == "unknown" and b.source_id.startswith("content-") and b.date == "2024-06-05" and b.mainboard[0].quantity == 4
+    a, b = sorted(records.normalized(raw, "t").collect(), key=lambda r: r.source)
+    assert a.source == "mtgtop8" and a.source_id is None and a.deck_id.startswith("mtgtop8:content-") and a.date == "2024-06-05" and a.mainboard[0].quantity == 4 and a.format == "commander"
+    assert b.deck_id == "site:7" and [(e.name, e.quantity) for e in b.mainboard] == [("Bolt", 3)] and b.commanders[0].name == "Boss"
     flat = records.flattened(records.normalized(raw, "t"), "deck_id")
     assert {(r.zone, r.name, r.quantity) for r in flat.collect()} == {("mainboard", "Bolt", 3), ("commanders", "Boss", 1), ("mainboard", "Bolt", 4)}
     sets = spark.createDataFrame([(["B", "a ", "b"],), (["x", " "],), (None,)], "c array<string>")

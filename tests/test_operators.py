@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import dedup, graph, neardup, rank, rules, split, vectors
+from sparkloom.operators import dedup, graph, lookup, neardup, rank, rules, split, vectors
 from sparkloom.sources import files
 from sparkloom.streaming import ingest
 
@@ -70,20 +70,83 @@ def test_names_dates_lines(spark):
     names = ["Ætherling É", "a-Fire // Ice", "  Two   Words ", "ﬁre", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(tx.name_key(F.col("n"))).collect()] == ["ætherling e", "fire", "two words", "fire", None]
-    assert [r[0] for r in spark.createDataFrame([("Fire/Ice",), ("It’s…",), ("______",)], "n string").select(tx.lookup_key(F.col("n"))).collect()] == ["fire // ice", "it's...", "_____"]
-    days = ["2024-01-02T03:04", "03/04/99", "03/04/2024", "12/31/2024", "2024/05/06", "January 5, 2024", "soon", "", None]
+    written = [("  Fire/Ice ", "fire // ice"), ("Fire // Ice", "fire // ice"), ("It’s…", "it's..."), ("______ Goblin", "_____ goblin"), ("With Great Power . . .", "with great power..."), ("With Great Power...", "with great power..."), ("“É” – ß", "“e” - ss")]
+    for key in (tx.lookup_key, tx.native_lookup_key):
+        assert [r[0] for r in spark.createDataFrame(written, "n string, w string").select(key(F.col("n"))).collect()] == [w for _, w in written]
+    latin = [(chr(c) + "x",) for c in range(0xC0, 0x250)]
+    assert all(r.a == r.b for r in spark.createDataFrame(latin, "n string").select(tx.name_key(F.col("n")).alias("a"), tx.native_key(F.col("n")).alias("b")).collect() if len(r.a) == 2)
+    days = ["2024-01-02T03:04", "03/04/99", "03/04/2024", "12/31/2024", "2024/05/06", "January 5, 2024", "soon", "", None, "2024-01-02 x", "2024-01-02x", "2024-1-5", "5-Mar-2024", "05-MAR-2024 23:59", "05-Mar-2024 24:00", "31/02/2024", "01/02/68", "01/02/69"]
     got = [r[0] for r in spark.createDataFrame([(d,) for d in days], "d string").select(tx.normal_date(F.col("d"))).collect()]
-    assert got == ["2024-01-02", "1999-04-03", "2024-04-03", "2024-12-31", "2024-05-06", "2024-01-05", "soon", None, None]
+    assert got == ["2024-01-02", "1999-04-03", "2024-04-03", "2024-12-31", "2024/05/06", "January 5, 2024", "soon", None, None, "2024-01-02", "2024-01-02x", "2024-01-05", "2024-03-05", "2024-03-05", "05-Mar-2024 24:00", "31/02/2024", "2068-02-01", "1969-02-01"]
+    lines = [("4Name", 4, "Name"), ("4x Name", 4, "Name"), ("4X  Name ", 4, "Name"), ("0 Name", 1, "Name"), ("Name", 1, "Name"), ("sb: 2 Name", 2, "Name"), ("12", 1, "2")]
+    assert [(r.e.quantity, r.e.name) for r in spark.createDataFrame([(x,) for x, _, _ in lines], "l string").select(tx.parsed_line(F.col("l")).alias("e")).collect()] == [(q, n) for _, q, n in lines]
+    suffixed = [("Bolt (ABC) 123", "Bolt"), ("Bolt (ABCDEFGH) 12a-b ", "Bolt"), ("Bolt (ABC)", "Bolt (ABC)"), ("Bolt (A) 1", "Bolt (A) 1"), ("Bolt(ABC) 1", "Bolt(ABC) 1")]
+    assert [r[0] for r in spark.createDataFrame(suffixed, "n string, w string").select(tx.without_set_suffix(F.col("n"))).collect()] == [w for _, w in suffixed]
     text = "# note\n2x Bolt\nSB: 1 Shock\nSideboard\n3 Bolt\nMaybeboard\n1 No\nDeck:\nBolt\n"
     zones = {(r.zone, r.name): r.quantity for r in tx.zones(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()}
-    assert zones == {("main", "Bolt"): 3, ("side", "Shock"): 1, ("side", "Bolt"): 3}
+    assert zones == {("mainboard", "Bolt"): 3, ("sideboard", "Shock"): 1, ("sideboard", "Bolt"): 3}
     self_named = spark.createDataFrame([("Bob hits bobby and BOB", ["Bob"])], "t string, n array<string>").select(tx.without_names(F.col("t"), F.col("n"))).first()[0]
     assert self_named == "[SELF] hits bobby and [SELF]"
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([("up to seven", False), ("any number", False), ("plain", False), ("plain", True)], "t string, b boolean")
-    assert [r[0] for r in df.select(rules.copy_limit(F.col("t"), F.col("b"), 4)).collect()] == [7, None, 4, None]
+    texts = [("A deck can have up to seven cards named Dwarves.", False, 7), ("A deck can have any number of cards named Rats.", False, None), ("up to seven", False, 4), ("any number", False, 4), ("plain", True, None), ("A deck can have up to one card named X.", False, 1), ("A deck can have up to 9 cards named Y.", False, 9), ("A deck can have up to many cards named Z.", False, 4), (None, None, 4)]
+    df = spark.createDataFrame(texts, "t string, b boolean, w int")
+    assert [r[0] for r in df.select(rules.copy_limit(F.col("t"), F.col("b"), 4)).collect()] == [w for _, _, w in texts]
+    titles = [("Pauper Cube Archetypes", 209, "explicit_cube"), ("My collection", 150, "collection_or_pool"), ("Merged lists", 160, "aggregate_or_reference"), ("Cube-loving commander", 100, None), (None, 200, None), ("Normal Commander", 200, None), ("Pool of every list", 500, None), ("Card Pool", 120, "collection_or_pool")]
+    assert [r[0] for r in spark.createDataFrame(titles, "t string, n int, w string").select(dedup.quality_reason(F.col("t"), F.col("n"))).collect()] == [w for _, _, w in titles]
+    tries = [(1, 0, False, 60), (1, 1, False, 300), (1, 2, False, 900), (1, 3, False, None), (0, 0, False, None), (2, 0, False, None), (130, 0, False, None), (1, 0, True, None)]
+    assert [r[0] for r in spark.createDataFrame(tries, "c int, a int, b boolean, w int").select(tx.retry_delay(F.col("c"), F.col("a"), F.col("b"))).collect()] == [w for *_, w in tries]
+
+
+def test_sink_survives_restarts_and_replays(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, at int, v string")
+    later = spark.createDataFrame([("b", 4, "w"), ("c", 5, "v")], rows.schema)
+    path = str(tmp_path / "sink")
+    shown = lambda sink: sorted(map(tuple, sink.read(rows.schema).collect()))
+    first = ingest.Sink(spark, ["k"], "at", path)
+    first.add(rows, "batch0")
+    first.add(later, "batch1")
+    want = [("a", 1, "x"), ("b", 2, "y"), ("c", 5, "v")]
+    assert shown(first) == want
+    again = ingest.Sink(spark, ["k"], "at", path)  # after a restart
+    assert shown(again) == want
+    again.add(rows, "batch2")
+    again.add(later, "batch1")  # the same batch once more
+    again.add(rows, "batch0")
+    assert shown(again) == want and shown(ingest.Sink(spark, ["k"], "at", path)) == want
+    (tmp_path / "sink" / "batch1" / "_SUCCESS").unlink()  # a batch that was cut short
+    assert shown(again) == want[:2]
+    again.add(later, "batch1")
+    assert shown(again) == want
+
+
+def test_numbers_by_range(spark):
+    df = spark.range(1000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(97)))
+    got = split.prefix_sums(df, ["v", "id"], F.col("v"), "s").orderBy("v", "id").collect()
+    total = 0
+    for r in got:
+        assert r.s == total
+        total += r.v
+    assert [r.n for r in split.numbered(df, ["v", "id"], "n").orderBy("v", "id").collect()] == list(range(1, 1001))
+
+
+def test_untested_before(spark):
+    votes = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a"), ("y", "a"), ("y", "a"), ("y", "a")], "i string, s string")
+    assert [tuple(r) for r in ingest.discovered(votes, "i", "s", 3, 2).collect()] == [("x", 3, 2)]
+    shared = spark.createDataFrame([(1, "p"), (1, "q"), (2, "q"), (3, "r"), (4, "s"), (4, "r")], "g int, m string")
+    kept = {r.g: (r.root, r.reserved) for r in dedup.reserved_families(shared, "g", "m", spark.createDataFrame([("p",)], "m string")).collect()}
+    assert kept == {1: (1, True), 2: (1, True), 3: (3, False), 4: (3, False)}
+    firsts = dedup.first_wins(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "p int, k string"), ["k"], ["p"]).orderBy("p").collect()
+    assert [(r.kept, r.group_size) for r in firsts] == [(True, 2), (False, 2), (True, 1)]
+    out = lookup.aligned(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", [1.0, 2.0])], "k string, v array<double>"), "k", "v", 2).orderBy("k").collect()
+    assert [(r.v, r.present) for r in out] == [([1.0, 2.0], True), ([0.0, 0.0], False)]
+    marks = spark.createDataFrame([(0.2, 0.4), (-0.4, -0.2), (-0.05, 0.05), (-0.2, 0.3)], "l double, h double")
+    assert [r[0] for r in marks.select(rank.assessment(F.col("l"), F.col("h"), 0.1)).collect()] == ["better", "worse", "equivalent", "unclear"]
+    bands = spark.createDataFrame([(1, 0.1), (2, 0.6), (3, 0.5), (4, 0.9)], "b int, v double")
+    assert rank.reliable_from(bands, "b", "v", 0.5).first().b == 2
+    near = vectors.near_pairs(spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [2.0, 1e-9, -1e-9]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 3.0, 0.0]), (5, [0.0, 0.0, 0.0]), (6, [0.0, 1.0, 0.02])], "i int, v array<double>"), "i", "v", 0.9998)
+    assert {(r.a, r.b) for r in near.collect()} == {(1, 2), (3, 4)} | {(3, 6)}
 
 
 def test_splits(spark):
