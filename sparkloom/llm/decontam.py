@@ -12,8 +12,9 @@
    item's answer, its last sentence.
 
 The benchmark is taken in blocks of ITEMS items, so nothing broadcast grows with it or the corpus.  Items without words find nothing;
-items shorter than SHORT words must be there whole.  Null and empty texts contain nothing; a null item_id is left out; a document
-occurs once for each item found; rows with the same doc_id count as one document.  Other columns are dropped.
+items shorter than SHORT words must be there whole.  Null and empty texts contain nothing; a null item_id is left out; several texts of an item_id are looked
+for each; a document occurs once for each item found, with its best match; rows with the same doc_id count as one document.  Other columns are dropped.
+Removing goes by the texts, so rows without an id, or with an id of others, are judged by what they hold.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ WINDOW, STRIDE, RANK, OVER = 64, 32, 64, 16
 COMMON, POWER, COSINE, SHARED = 0.02, 1.5, 0.4, 0.3
 #: Share of an item's words in order: enough alone, or with so many of the answer's words.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
-STRETCH, SHORT, ITEMS, FAN = 1.3, 8, 1_024, 16
+STRETCH, SHORT, ITEMS, FAN = 1.3, 8, 1_024, 8
 
 
 class Items:
@@ -187,6 +188,8 @@ def latent_space(terms: DataFrame, idf: np.ndarray, items: np.ndarray, passages:
     core = omega.T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > max(values.max(), 0) * 1e-10
+    if not good.any():  # every term is a frequent one: the space is empty
+        return np.zeros((size, 1), np.float32)
     left, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     return left[:, :rank].astype(np.float32)
 
@@ -239,8 +242,6 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
         df[r.term] = r.n  # -1, the last, counts the blocks
     total = max(1.0, df[-1])
     idf = (np.where(df[:-1] > max(COMMON * total, 3), 0, np.log((1 + total) / (1 + df[:-1]))) ** POWER).astype(np.float32)
-    if not idf.any():
-        idf[:] = 1  # a tiny corpus
     rows_of = np.zeros((len(items.terms), size))
     for i, t in enumerate(items.terms):
         np.add.at(rows_of[i], t, idf[t])
@@ -320,11 +321,11 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, common (share of the item's words in order), answer, cosine, word (where it begins): contaminated pairs only."""
     spark = docs.sparkSession
-    asked = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-asked.count() // items))
     found: DataFrame | None = None
     for k in range(blocks):
-        rows = sorted(asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
+        rows = sorted(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
         block = Items([r.item_id for r in rows], [r.text for r in rows])
         if len(block.vocabulary):
             some = _find(docs, block)
@@ -336,6 +337,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item was found."""
-    gone = find_contaminated(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs in whose texts no item was found; columns as they are."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    gone = find_contaminated(docs.where(F.length("text") > 0).select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, key == F.col("__gone"), "left_anti")
