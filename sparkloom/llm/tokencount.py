@@ -19,13 +19,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.llm.common import slices
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Entries of the broadcast table; documents of its sample; pre-tokens that a worker keeps; longest one kept.
-FREQUENT, SAMPLE, CACHED, LONGEST = 65_536, 2_000, 400_000, 64
+#: Entries of the broadcast table; documents of its sample and characters looked at of each; pre-tokens that a worker keeps; longest one kept.
+FREQUENT, SAMPLE, SHOWN, CACHED, LONGEST = 65_536, 2_000, 16_384, 400_000, 64
 LIMIT = 4096
 _CACHES: dict[str, Lengths] = {}
 
@@ -78,25 +79,12 @@ def lengths(path: str, frequent: list[tuple[str, int]] = ()) -> Lengths:
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str | None, sample: int = SAMPLE, most: int = FREQUENT) -> list[tuple[str, int]]:
-    """The most frequent pre-tokens of about `sample` documents; at most 8 tasks send `most` / 4 each."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in slices(batches, 0):
-            for t in batch.column(0).to_pylist():
-                seen.update(u for u in units(t or "") if len(u) <= LONGEST)
-            if len(seen) > 8 * most:
-                seen = Counter(dict(seen.most_common(2 * most)))
-        top = seen.most_common(most // 4)
-        yield pa.record_batch([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
-
-    rows = docs.count()
-    part = docs.select(text).sample(min(1.0, sample / max(rows, 1)), seed=1).coalesce(8)
-    total: Counter = Counter()
-    for r in part.mapInArrow(local, "unit string, n long").collect():
-        total[r.unit] += r.n
+    """The most frequent pre-tokens of `sample` rows, as Spark comes to them: no pass over the table, at most sample x SHOWN characters."""
+    seen: Counter = Counter()
+    for r in docs.select(F.substring(F.col(text), 1, SHOWN).alias("t")).limit(sample).collect():
+        seen.update(u for u in units(r.t or "") if len(u) <= LONGEST)
     table = lengths(model_path(path))
-    return [(u, table[u]) for u, _ in total.most_common(most)]
+    return [(u, table[u]) for u, _ in seen.most_common(most)]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
