@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,12 @@ TINY = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def pd_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.string())
+
+
 def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], SCHEMA)
 
@@ -103,7 +110,9 @@ def words(t):
 
 
 def true_classes(rows):
-    sets = {i: (set(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else {tuple(w)} if w else None) for i, w in ((i, words(t)) for i, t in rows)}
+    """The smallest id of the component of each document; a shingle weighs as often as it occurs."""
+    counts = {i: Counter(zip(*[w[k:] for k in range(5)]) if len(w) >= 5 else [tuple(w)] if w else []) for i, w in ((i, words(t)) for i, t in rows)}
+    sets = {i: {(x, k) for x, n in c.items() for k in range(n)} for i, c in counts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -141,6 +150,28 @@ def test_near_duplicates(spark):
     assert minhash.one_of_each(table(spark, rows)).count() == len(set(got.values()))
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    """Repeated rows, an id of several texts, rows without ids, clashing columns, ties of classes in two buckets."""
+    rnd = random.Random(11)
+    text = " ".join(f"w{rnd.randint(0, 500)}" for _ in range(120))
+    rows = [(5, text), (5, text), (3, text + " more"), (9, "zz other words here"), (9, "an own text of this id"), (None, text), (None, text), (1, None), (1, None), (2, "")]
+    docs = table(spark, rows).withColumns({"id": F.lit(0), "label": F.lit("x"), "key": F.lit(1), "words": F.lit(2)})
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == {5: 3, 3: 3, 9: 9, 1: 1, 2: 2}
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == sorted([(3, text + " more"), (9, "an own text of this id"), (0, text), (0, text), (1, ""), (2, "")])
+    # a chain: each like the next, the ends unlike
+    words_, chain = [f"c{k}" for k in range(200)], []
+    for i in range(12):
+        chain.append((100 - i, " ".join(words_)))
+        for k in rnd.sample(range(200), 3):
+            words_[k] = f"n{i}x{k}"
+    got = {r.doc_id: r.class_id for r in minhash.classes(table(spark, chain)).collect()}
+    assert got == true_classes(chain) and len(set(got.values())) == 1
+    repeated = [(i, " ".join(["same line again"] * (20 + i))) for i in range(8)] + [(50, "same line again " * 90)]
+    assert {r.doc_id: r.class_id for r in minhash.classes(table(spark, repeated)).collect()} == true_classes(repeated)
+
+
 def test_near_duplicates_of_a_full_bucket(spark):
     rnd = random.Random(5)
     base = [f"word{k}" for k in range(300)]
@@ -230,10 +261,73 @@ def test_decontamination_of_short_and_long_items(spark):
     assert {(d, i) for d, i in got if i < 3 or i == 43} == {(d, i) for d, i in want if i != 44} and got >= want
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Repeated item ids, rows without ids, repeated rows, very long texts, clashing columns, hot items, empty tables."""
+    rnd = random.Random(9)
+    text = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    first, second, hot = text(30), text(25), text(20)
+    put = lambda item, n: " ".join(text(n // 2) + item + text(n // 2))
+    rows = [(1, put(first, 80)), (2, put(second, 40_000)), (2, put(second, 40)), (None, put(first, 50)), (None, " ".join(text(50))), (4, None), (5, ""), (5, put([], 90)), (5, put([], 90))]
+    rows += [(100 + i, put(hot if i % 3 == 0 else [], 200)) for i in range(90)]
+    docs = table(spark, rows).withColumns({"item_id": F.lit(1), "terms": F.lit("x"), "cosine": F.lit(2)})
+    bench = spark.createDataFrame([(7, " ".join(first)), (7, " ".join(second)), (8, " ".join(hot)), (None, "w1 w2 w3"), (9, None), (9, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contaminated(docs, bench).collect()}
+    assert got == {(1, 7), (2, 7), (None, 7)} | {(100 + i, 8) for i in range(0, 90, 3)}
+    kept = decontam.without_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted([0, 4, 5, 5, 5] + [100 + i for i in range(90) if i % 3])
+    assert decontam.find_contaminated(docs.limit(0), bench).count() == 0 and decontam.find_contaminated(docs, bench.limit(0)).count() == 0
+    assert decontam.without_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_latent_space_against_a_dense_decomposition(spark):
+    """The projection on the space of the randomised decomposition is as good as that of the exact one."""
+    rnd = random.Random(2)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
+    texts = [" ".join(rnd.choice(topics[i % 6]) for _ in range(160)) for i in range(60)]
+    items = decontam.Items([0], [" ".join(w for t in topics for w in t)])
+    terms, size = [items.terms_of(pd_array([t]))[0] for t in texts], len(items.vocabulary)
+    rows, idf = [], np.random.default_rng(0).uniform(0.5, 2, size).astype(np.float32)
+    for t in terms:
+        for a in range(0, len(t), decontam.STRIDE):
+            v = np.zeros(size)
+            np.add.at(v, t[a : a + decontam.WINDOW], idf[t[a : a + decontam.WINDOW]])
+            rows.append(v / np.linalg.norm(idf[t[a : a + decontam.WINDOW]]))
+    dense = np.array(rows)
+    frame = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(terms)], "doc_id long, terms binary").repartition(7)
+    space = decontam.latent_space(frame, idf, np.zeros((1, size)), 0, rank=6).astype(float)
+    exact = np.linalg.svd(dense, full_matrices=False)[2][:6].T
+    lost = lambda v: np.linalg.norm(dense - dense @ v @ v.T)
+    assert np.allclose(space.T @ space, np.eye(6), atol=1e-4) and lost(space) < 1.02 * lost(exact)
+
+
 def test_decontamination_query(spark):
     docs, bench = (pd.read_parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
-    want = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, s in zip(bench.item_id, bench.text) if s in t}
-    assert {(r.doc_id, r.item_id) for r in queries.op3_latent_decontam(spark, TINY).collect()} >= want
+    got = {(r.doc_id, r.item_id): r for r in queries.op3_latent_decontam(spark, TINY).collect()}
+    whole = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, s in zip(bench.item_id, bench.text) if s in t}
+    words = lambda t: re.findall(r"\w+", t.lower())
+    items = {i: words(t) for i, t in zip(bench.item_id, bench.text)}
+    # brute force: of every document and item, the longest common subsequence within stretches little longer than the item
+    def best(own, text):
+        wide, most = int(np.ceil(decontam.STRETCH * len(own))), 0
+        vocabulary = set(own)
+        for a in range(0, max(1, len(text) - len(own) + 1)):
+            part = text[a : a + wide]
+            if sum(w in vocabulary for w in part) < 0.5 * len(own):
+                continue
+            masks: dict = {}
+            for p, t in enumerate(own):
+                masks[t] = masks.get(t, 0) | 1 << p
+            full = s = (1 << len(own)) - 1
+            for t in part:
+                u = s & masks.get(t, 0)
+                s = ((s + u) | (s - u)) & full
+            most = max(most, len(own) - s.bit_count())
+        return most / len(own)
+
+    found = {(d, i): best(own, words(t)) for d, t in zip(docs.doc_id, docs.text) for i, own in items.items()}
+    sure = {k for k, v in found.items() if v >= 0.85}
+    assert whole <= sure <= set(got) and all(found[k] >= decontam.PARAPHRASE - 1e-9 for k in got)
 
 
 @pytest.fixture(scope="module")
