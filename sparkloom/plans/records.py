@@ -253,7 +253,8 @@ UNION SELECT l_orderkey, 'too_many_copies', l_partkey FROM lines GROUP BY l_orde
 UNION SELECT l_orderkey, 'not_legal', l_partkey FROM lines WHERE status NOT IN ('legal', 'banned') UNION SELECT l.l_orderkey, 'outside_identity', l_partkey FROM lines l JOIN total t ON t.l_orderkey = l.l_orderkey AND identity IS NOT NULL WHERE bits & xor(31, identity) <> 0)"""
 JACCARD = """tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\\x{00C0}-\\x{024F}]+')) AS t FROM documents), size AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
 share AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
-near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM share JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.9 * (x.n + y.n - c))"""
+own AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS lead FROM (SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS s FROM tok GROUP BY doc_id)),
+near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM share JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b JOIN own l ON l.doc_id = a AND l.lead = a JOIN own m ON m.doc_id = b AND m.lead IN (a, b) WHERE c >= 0.9 * (x.n + y.n - c))"""
 
 SQL = {
     "exact_dedup_documents": "SELECT doc_id, CAST(doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS INTEGER) AS kept, count(*) OVER (PARTITION BY sha256(text)) AS group_size FROM documents",

@@ -54,9 +54,14 @@ def test_similar_pairs(spark):
             words[rnd.randrange(20)] = f"x{rnd.randint(0, 9)}"
         rows.append((i, " ".join(words)))
     sets = {i: set(t.split()) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    lead = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and lead[a] == a and lead[b] in (a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     df = neardup.token_sets(spark.createDataFrame(rows + [(99, ""), (98, None)], "doc_id long, text string"), "doc_id", "text")
     assert {(r.a, r.b) for r in neardup.similar_pairs(df, 0.8).collect()} == want
+    found = {(r.a, r.b): r.jaccard for r in neardup.verified(neardup.candidates(df), df, 0.8).collect()}
+    assert all(j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), j in found.items())
+    # every set that has a near one is met
+    assert len({x for p in want for x in p} - {x for p in found for x in p}) <= 2
 
 
 def test_metrics(spark):
