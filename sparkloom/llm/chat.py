@@ -8,7 +8,8 @@ one away, so formatting is reversible, backslashes included.
 
 Null roles and texts are empty ones; a null conv_id is a conversation of its own and a null
 turn comes first.  Equal turns of a conversation are ordered by role, then text.  Long texts are encoded in
-segments of SEGMENT characters.  Other columns are dropped; empty tables give empty tables.
+parts that end where tokens end, so the ids are those of the whole text; only a run of SEGMENT characters without a space between two words, on
+which the encoder's pattern may exhaust its stack, is cut inside.  Other columns are dropped; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -56,11 +57,21 @@ def encoder(path: str | None = None):
     return _ENCODERS[path]
 
 
+def segments(text: str) -> Iterator[str]:
+    """text in parts of at most SEGMENT characters, cut before a single space between two words, where the encoder ends a token in any case."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = at + SEGMENT
+        while (cut := text.rfind(" ", at + 1, cut)) > 0 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            pass
+        cut = cut if cut > 0 else at + SEGMENT
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def encode(text: str, model) -> list[int]:
-    out: list[int] = []
-    for i in range(0, len(text), SEGMENT):
-        out += model.encode_ordinary(text[i : i + SEGMENT])
-    return out
+    return [i for part in segments(text) for i in model.encode_ordinary(part)]
 
 
 def assemble(role: str, text: str, model) -> tuple[np.ndarray, np.ndarray]:

@@ -56,6 +56,17 @@ def test_chat_query(spark):
     assert got[-7].n_turns == 2 and got[-7].loss_chars == len(r"\### Assistant: </turn> ok") and len(got) == turns.conv_id.nunique() + 1
 
 
+def test_long_texts_are_cut_where_tokens_end():
+    rnd = random.Random(3)
+    model, parts = chat.encoder(), ["word", " word", "  ", "\n", " 12", "'s", " 's", "é", " !?", "\t", "x" * 300, " ", "日本 語"]
+    for _ in range(6):
+        text = "".join(rnd.choice(parts) for _ in range(30_000))
+        assert "".join(chat.segments(text)) == text and max(map(len, chat.segments(text))) <= chat.SEGMENT
+        assert chat.encode(text, model) == model.encode_ordinary(text)
+    for text in (" " * 200_000, "y" * 100_000, " \n" * 60_000, "a  b" * 30_000):
+        assert model.decode(chat.encode(text, model)) == text
+
+
 def test_token_counts(spark):
     import sentencepiece
 
