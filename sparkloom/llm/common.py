@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import read, shared_dir, shared_table
 
-__all__ = ["read", "shared_dir", "shared_table", "slices", "text_or_empty"]
+__all__ = ["read", "shared_dir", "shared_table", "slices", "small_batches", "text_or_empty"]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of at most so many bytes in a text or binary column; a longer value is taken alone."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -26,5 +27,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
             at = to
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

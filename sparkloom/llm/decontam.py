@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_table, slices
+from sparkloom.llm.common import shared_table, slices, small_batches
 from sparkloom.llm.words import pieces, words_of
 
 WINDOW, STRIDE, RANK, OVER = 64, 32, 64, 16
@@ -35,6 +35,8 @@ COMMON, POWER, COSINE, SHARED = 0.02, 1.5, 0.4, 0.3
 #: Share of an item's words in order: enough alone, or with so many of the answer's words.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
 STRETCH, SHORT, ITEMS, FAN = 1.3, 8, 1_024, 8
+#: Words whose vectors are held at a time.
+TERMS = 1 << 17
 
 
 class Items:
@@ -124,12 +126,12 @@ class Blocks:
     def passages(self, weights: np.ndarray) -> np.ndarray:
         """Summed weight vectors of each block and the next one of its document."""
         out = np.zeros((self.n, weights.shape[1]), np.float32)
-        if len(self.block):
-            live = np.flatnonzero(np.abs(weights).sum(1)[self.term] > 0)
+        every = np.flatnonzero(np.abs(weights).sum(1)[self.term] > 0) if len(self.block) else self.block
+        for a in range(0, len(every), TERMS):
+            live = every[a : a + TERMS]
             where = self.block[live]
-            if len(where):
-                cut = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-                out[where[cut]] = np.add.reduceat(weights[self.term[live]], cut, axis=0)
+            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            out[where[cut]] += np.add.reduceat(weights[self.term[live]], cut, axis=0)
         both = out.copy()
         both[:-1][~self.last[:-1]] += out[1:][~self.last[:-1]]
         return both
@@ -174,10 +176,11 @@ def latent_space(terms: DataFrame, idf: np.ndarray, items: np.ndarray, passages:
             z[1:][~b.last[:-1]] += y[:-1][~b.last[:-1]]
             live = np.flatnonzero(idf[b.term] > 0)
             order = live[np.argsort(b.term[live], kind="stable")]
-            if len(order):
-                t = b.term[order]
+            for a in range(0, len(order), TERMS):  # a long text has many
+                some = order[a : a + TERMS]
+                t = b.term[some]
                 cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                total[t[cut]] += np.add.reduceat(z[b.block[order]], cut, axis=0) * idf[t[cut], None]
+                total[t[cut]] += np.add.reduceat(z[b.block[some]], cut, axis=0) * idf[t[cut], None]
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["m"])
 
     y = _summed(terms.mapInArrow(sketch, "m binary"), (size, wide)).astype(float)
@@ -320,6 +323,11 @@ def _find(docs: DataFrame, items: Items) -> DataFrame:
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, common (share of the item's words in order), answer, cosine, word (where it begins): contaminated pairs only."""
+    with small_batches(docs.sparkSession):
+        return _found(docs, benchmark, items)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, items: int) -> DataFrame:
     spark = docs.sparkSession
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-asked.count() // items))
@@ -328,7 +336,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS)
         rows = sorted(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
         block = Items([r.item_id for r in rows], [r.text for r in rows])
         if len(block.vocabulary):
-            some = _find(docs, block)
+            some = shared_table(_find(docs, block), "benchmark-found")
             found = some if found is None else found.unionByName(some)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, common double, answer double, cosine double, word int")

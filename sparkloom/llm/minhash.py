@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_table, slices
+from sparkloom.llm.common import shared_table, slices, small_batches
 from sparkloom.operators.graph import components
 from sparkloom.llm.words import mixed, pieces, shingles_of, words_of
 
@@ -238,11 +238,16 @@ def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFr
     left = _open(buckets.select("key", "id").join(known, "id")).select("id", "label").distinct()
     rest = shared_table(left.join(sets, "id"), "dart-rest")
     more = linked(prefix_pairs(rest, least))
-    return known if more.isEmpty() else labelled(links.unionByName(more))
+    return known if more.isEmpty() else shared_table(labelled(links.unionByName(more)), "dart-labels")
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id of the class."""
+    """doc_id, class_id: the smallest doc_id of the class.  All Python work ends in written tables here; what is returned only joins them."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, bands, rows, least)
+
+
+def _classes(docs: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
     signed = shared_table(signatures(docs, bands, rows), "dart-signatures")
     whole = signed
     if _repeats(signed):  # the order of texts is that of their keys' strings only by chance, so ask the texts
