@@ -181,6 +181,7 @@ SELECT round(sum(g * g) FILTER (i <= 32 AND j > 32) / (sqrt(sum(g * g) FILTER (i
     "seed_unpivot": f"UNPIVOT ({PIVOT}) ON seed0, seed1, seed2 INTO NAME metric VALUE value",
     "coverage_with_nulls": "SELECT lang, quality, toxic, count(*) AS docs, count(DISTINCT source) AS sources FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "url_params": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page_param FROM pages",
+    "page_text": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS digest FROM t""",
     "html_links": "WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS href FROM l",
     "text_tag_signature": "WITH t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in TAGS.items()) + "], lambda x: x IS NOT NULL) AS l FROM documents), e AS (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN ['other'] ELSE l END) AS tag FROM t) SELECT tag, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM e GROUP BY tag",
     "tag_evidence": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS tag, regexp_extract(text, '{TAGS[n]}', 0) AS span FROM documents WHERE regexp_matches(text, '{TAGS[n]}')" for n in TAGS),
