@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import rank, vectors
+from sparkloom.operators import rank, scorers, vectors
 from sparkloom.sources.tables import read
 from sparkloom.streaming import ingest
 
@@ -200,3 +200,40 @@ QUERIES = {
         text_tag_signature, tag_evidence, date_normalize, sectioned_fill_forward, year_windows, repeated_page_detect, upsert_counter, stream_dedup_replay, stream_dual_sink,
     )
 }
+
+
+def _two_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("u"), F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("v"))
+
+
+def scorer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best of every fiftieth vector by each mode; the halves of a vector are its two spaces."""
+    rows = _two_spaces(spark, sf_dir)
+    weights = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: i / 32)
+    out = None
+    for mode in scorers.MODES:
+        best = scorers.scored(rows.where("vec_id % 50 = 0"), rows, "vec_id", mode, weights).withColumn("score_r", F.round("score", 6))
+        best = rank.top_k(best, ["query"], [F.desc("score_r"), "vec_id"], 3).select(F.lit(mode).alias("mode"), "query", "vec_id", "score_r", "rank")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def multi_query_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best for sets of queries (by label), scores averaged over a set."""
+    rows = _two_spaces(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    asked = rows.where("vec_id % 25 = 0")
+    means = scorers.mean_of_queries(scorers.scored(asked, rows, "vec_id", "input_cosine"), asked.select(F.col("label").alias("set"), F.col("vec_id").alias("query")), "vec_id").withColumn("score_r", F.round("score", 6))
+    return rank.top_k(means, ["set"], [F.desc("score_r"), "vec_id"], 5).select("set", "vec_id", "score_r", "rank")
+
+
+_U = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
+_DOT = "list_dot_product({0}, {1})"
+_SCORES = {
+    "input_cosine": _U.format("a.u", "b.u"), "context_cosine": _U.format("a.v", "b.v"), "combined_cosine": _U.format("a.s", "b.s"), "cross_dot": _DOT.format("a.u", "b.v"), "cross_cosine": _U.format("a.u", "b.v"),
+    "symmetric_cross_dot": f"({_DOT.format('a.u', 'b.v')} + {_DOT.format('a.v', 'b.u')}) / 2", "symmetric_cross_cosine": f"({_U.format('a.u', 'b.v')} + {_U.format('a.v', 'b.u')}) / 2", "svd_dot": _DOT.format("a.u", "b.u"),
+    "compatibility": "list_dot_product(a.w, b.u) / (sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u)))",
+}
+_HALVES = "h AS (SELECT vec_id, label, CAST(embedding[1:32] AS DOUBLE[]) AS u, CAST(embedding[33:64] AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT *, list_transform(list_zip(u, v), lambda x: x[1] + x[2]) AS s, list_transform(list_zip(u, range(1, 33)), lambda x: x[1] * x[2] / 32) AS w FROM h)"
+SQL["scorer_modes"] = f"WITH {_HALVES}, s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, a.vec_id AS query, b.vec_id, round({e}, 6) AS score_r FROM t a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0" for m, e in _SCORES.items()) + ") SELECT *, row_number() OVER (PARTITION BY mode, query ORDER BY score_r DESC, vec_id) AS rank FROM s QUALIFY rank <= 3"
+SQL["multi_query_mean"] = f"WITH {_HALVES}, s AS (SELECT a.label AS set_, b.vec_id, round(avg({_SCORES['input_cosine']}), 6) AS score_r FROM t a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0 GROUP BY 1, 2, b.label HAVING NOT (b.vec_id % 25 = 0 AND b.label = a.label)) SELECT set_ AS \"set\", vec_id, score_r, row_number() OVER (PARTITION BY set_ ORDER BY score_r DESC, vec_id) AS rank FROM s QUALIFY rank <= 5"
+QUERIES |= {f.__name__: f for f in (scorer_modes, multi_query_mean)}
