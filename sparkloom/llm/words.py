@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a single longer text is taken alone.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CLASS = np.zeros(256, np.uint8)
