@@ -65,3 +65,16 @@ def test_best_products(spark):
     few = vectors.best_products(asked.where("qid = 0"), df.where("key < 3"), 4)
     assert sorted((r.key, r["rank"]) for r in few.collect())[0][0] == 1 and few.count() == 2
     assert "MapInArrow" in few._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["cross_dot", "symmetric_cross_cosine", "compatibility"])
+def test_best_of_a_mode(spark, mode):
+    """The same as ranking all scores, without a join that makes them."""
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(3)], [rnd.gauss(0, 1) for _ in range(3)]) for i in range(60)], "k long, u array<double>, v array<double>")
+    weights = F.array(*map(F.lit, (0.2, 0.5, 1.0)))
+    got = {(r.query, r["rank"]): (r.k, r.score_r) for r in scorers.best(df.where("k % 20 = 0"), df, "k", mode, 3, weights).collect()}
+    every = {}
+    for r in scorers.scored(df.where("k % 20 = 0"), df, "k", mode, weights).collect():
+        every.setdefault(r["query"], []).append((-round(r.score, 6), r.k))
+    assert got == {(q, n): (k, pytest.approx(-s, abs=1e-9)) for q, x in every.items() for n, (s, k) in enumerate(sorted(x)[:3], 1)}
