@@ -12,7 +12,8 @@ and only one of each goes on.  Bands of equal darts make buckets.  Each bucket n
 group of copies name the same one; it is compared by true shingles with all in the bucket, a pair once in however many buckets it met, and the links make
 classes.  Texts that then still share a bucket with another class are joined exactly by prefixes: in an order of the shingles by rarity, two similar texts
 share one of the first few of each.  Texts of a group just under the bound share their frequent shingles, which come last, so few pairs are left to
-compare.  No pair that shares a bucket stays uncompared unless its sizes or prefixes rule it out, and the number of steps is fixed.
+compare.  No pair that shares a bucket stays uncompared unless its sizes or prefixes rule it out, and the number of steps is fixed.  Pairs and
+links are counted first: up to FEW ids and pairs are broadcast to the texts and their sets and up to FEW links made classes by the driver, more are joined by exchanges; both give the same classes.
 
 Null and empty texts, and texts without words, are classes of their own.  Rows with the same doc_id are one document
 (its least text counts).  A null doc_id has no class and is left out.  An empty table gives an empty table; other columns are dropped.
@@ -35,6 +36,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
 #: Expected darts a coordinate of the first look; beyond what the coupon collector asks.
 SURE = 3.0
+#: Ids and pairs of texts that are broadcast, and links that the driver joins into classes (two numbers each); more take exchanges, which cost seconds each however few the rows.
+FEW = 1 << 17
 _STEP, _COORDINATE, _HEIGHT, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9))
 
 
@@ -207,38 +210,64 @@ def prefix_pairs(rest: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("centre")).distinct()
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in links from a to b, and the smallest id of the component of each."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """id, root: the smallest id of its class, for every id in a link.  links: id, centre, a written table."""
+    if links.count() > FEW:
+        return shared_table(components(links, "id", "centre"), "dart-roots")
+    told = links.select("id", "centre").toArrow()
+    ids, root = _joined(*(c.to_numpy().astype(np.int64) for c in told.columns))
+    return F.broadcast(links.sparkSession.createDataFrame(pa.table({"id": ids, "root": root})))
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+
+
 def labels(signed: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """id, label (the smallest id of its class) of the texts that shared a bucket with another.
+    """The rows of signed without their bands, with label: the smallest id of its class.
 
-    signed: id, bands, one row for each different text; docs: doc_id, text.
+    signed: id, bands, one row for each different text; docs: doc_id, text, one row an id.
     """
     rows = signed.select(F.explode("bands").alias("key"), "id")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a text has one row a band, so the window's groups are bounded
     buckets = shared_table(rows.join(shared, "key").select("key", "id", F.sum("n").over(Window.partitionBy("id")).alias("met")), "dart-buckets")
     if buckets.isEmpty():
-        return buckets.select("id", F.col("id").alias("label"))
+        return signed.drop("bands").withColumn("label", F.col("id"))
     ids = shared_table(buckets.select("id").distinct(), "dart-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids  # so that the other texts aren't moved
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    if _repeats(texts):
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     sets = shared_table(shingle_sets(texts), "dart-shingles")
+    a, b = sets.withColumnRenamed("set", "a"), sets.select(F.col("id").alias("centre"), F.col("set").alias("b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        told = pairs.join(sets.withColumnRenamed("set", "a"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("b")), "centre")
+        pairs = shared_table(pairs, "dart-pairs")
+        if pairs.count() > FEW:
+            told = pairs.join(a, "id").join(b, "centre")
+        else:  # each set goes to its pairs, which are dealt out evenly, whatever text they share
+            told = a.join(F.broadcast(pairs), "id").join(b.join(F.broadcast(pairs), "centre"), ["id", "centre"])
         return shared_table(similar(told, least).where("near").select("id", "centre"), "dart-links")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return ids.join(components(links, "id", "centre"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
-
     centres = buckets.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("met"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
     links = linked(buckets.join(centres, "key").where("id <> centre").select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre")).distinct())
-    known = shared_table(labelled(links), "dart-labels")
-    # texts that still share a bucket with another class
-    left = _open(buckets.select("key", "id").join(known, "id")).select("id", "label").distinct()
+    roots = _roots(links)
+    # texts that still share a bucket with another class, dealt by id once for two steps: a text has one row a band at most
+    left = _open(_labelled(buckets.select("key", "id"), roots)).select("id", "label").repartition("id").distinct()
     rest = shared_table(left.join(sets, "id"), "dart-rest")
     more = linked(prefix_pairs(rest, least))
-    return known if more.isEmpty() else shared_table(labelled(links.unionByName(more)), "dart-labels")
+    return _labelled(signed.drop("bands"), roots if more.isEmpty() else _roots(links.unionByName(more)))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILAR) -> DataFrame:
@@ -249,14 +278,13 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float
 
 def _classes(docs: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
     signed = shared_table(signatures(docs, bands, rows), "dart-signatures")
-    whole = signed
+    whole, texts = signed, docs
     if _repeats(signed):  # the order of texts is that of their keys' strings only by chance, so ask the texts
-        least_text = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-        whole = shared_table(signatures(least_text, bands, rows), "dart-signatures")
-    same = whole.where("words is not null").groupBy("words").agg(F.min("id").alias("lead"))
-    leads = shared_table(whole.join(same.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "bands"), "dart-leads")
-    found = labels(leads, docs, least).select(F.col("id").alias("lead"), "label")
-    lead = same.join(found, "lead", "left").select("words", F.coalesce("label", "lead").alias("class_id"))
+        texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+        whole = shared_table(signatures(texts, bands, rows), "dart-signatures")
+    first = whole.where("words is not null").groupBy("words").agg(F.min(F.struct("id", "bands")).alias("first"))
+    leads = shared_table(first.select("first.id", "words", "first.bands"), "dart-leads")
+    lead = labels(leads, texts, least).select("words", F.col("label").alias("class_id"))
     return whole.select("id", "words").join(lead, "words", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 

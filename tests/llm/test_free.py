@@ -200,6 +200,39 @@ def test_near_duplicates_of_a_full_bucket(spark):
     assert len(set(want.values())) == 57 and got == want
 
 
+def test_near_duplicates_take_few_exchanges(spark, monkeypatch):
+    """Each exchange costs as many tasks as there are partitions; classes of few links take no rounds of them, those of many are the same."""
+    rnd = random.Random(13)
+    rows = []
+    for f in range(6):
+        words_ = [f"f{f}w{k}" for k in range(150)]
+        for i in range(15):  # chains: each like the next
+            rows.append((1000 - 100 * f - i, " ".join(words_)))
+            for k in rnd.sample(range(150), 2):
+                words_[k] = f"n{f}x{i}x{k}"
+    want, context = true_classes(rows), spark.sparkContext
+    jobs = {}
+    for few in (minhash.FEW, 0):
+        monkeypatch.setattr(minhash, "FEW", few)
+        context.setJobGroup(f"classes, {few}", "")
+        assert {r.doc_id: r.class_id for r in minhash.classes(table(spark, rows)).collect()} == want
+        jobs[few] = len(context.statusTracker().getJobIdsForGroup(f"classes, {few}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[max(jobs)] <= 70 < jobs[0]
+
+
+def test_links_joined_by_the_driver():
+    rnd = random.Random(17)
+    a, b = (np.array([rnd.randrange(-500, 500) for _ in range(400)]) for _ in range(2))
+    root = {x: x for x in (*a.tolist(), *b.tolist())}
+    for _ in root:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    ids, found = minhash._joined(a, b)
+    assert dict(zip(ids.tolist(), found.tolist(), strict=True)) == root
+    assert [len(x) for x in minhash._joined(a[:0], b[:0])] == [0, 0]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 62, (2, 400), dtype=np.uint64)
