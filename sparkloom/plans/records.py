@@ -201,7 +201,7 @@ def balanced_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sets = neardup.token_sets(docs, "doc_id", "text")
-    return neardup.similar_pairs(sets, 0.9).select("a", "b", F.round("jaccard", 6).alias("jaccard_r"))
+    return neardup.all_similar_pairs(sets, 0.9).select("a", "b", F.round("jaccard", 6).alias("jaccard_r"))
 
 
 def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +251,9 @@ total AS (SELECT l_orderkey, sum(q) AS n, bit_or(CASE WHEN head THEN bits END) A
 issues AS (SELECT l_orderkey, 'wrong_size' AS code, NULL::BIGINT AS l_partkey FROM total WHERE n <> 100 UNION SELECT l_orderkey, 'no_head', NULL FROM total WHERE identity IS NULL
 UNION SELECT l_orderkey, 'too_many_copies', l_partkey FROM lines GROUP BY l_orderkey, l_partkey HAVING sum(q) > first(lim) UNION SELECT l_orderkey, 'unresolved', l_partkey FROM lines WHERE status IS NULL UNION SELECT l_orderkey, 'banned', l_partkey FROM lines WHERE status = 'banned'
 UNION SELECT l_orderkey, 'not_legal', l_partkey FROM lines WHERE status NOT IN ('legal', 'banned') UNION SELECT l.l_orderkey, 'outside_identity', l_partkey FROM lines l JOIN total t ON t.l_orderkey = l.l_orderkey AND identity IS NOT NULL WHERE bits & xor(31, identity) <> 0)"""
-JACCARD = """tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\\x{00C0}-\\x{024F}]+')) AS t FROM documents), size AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
-share AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+SHARED = """tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\\x{00C0}-\\x{024F}]+')) AS t FROM documents), size AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+share AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2)"""
+JACCARD = f"""{SHARED},
 own AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS lead FROM (SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS s FROM tok GROUP BY doc_id)),
 near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM share JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b JOIN own l ON l.doc_id = a AND l.lead = a JOIN own m ON m.doc_id = b AND m.lead IN (a, b) WHERE c >= 0.9 * (x.n + y.n - c))"""
 
@@ -288,7 +289,7 @@ SELECT context, target FROM (SELECT DISTINCT context, target FROM l) QUALIFY cou
     "stratified_sample": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY sha256('42:' || event_id), event_id) <= 50",
     "stratified_round_robin": """WITH e AS (SELECT event_type AS role, CAST(floor(hour(ts) / 6) AS INTEGER) AS stratum, user_id AS item, count(*) AS weight FROM events GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY role, stratum ORDER BY weight DESC, item) AS turn FROM e),
 o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY item ORDER BY turn, role, stratum) = 1), c AS (SELECT role, stratum, item, row_number() OVER (PARTITION BY role, stratum ORDER BY weight DESC, item) AS turn FROM o) SELECT role, stratum, item, row_number() OVER (ORDER BY turn, role, stratum) AS pick FROM c""",
-    "near_duplicate_pairs": f"WITH {JACCARD} SELECT a, b, round(jaccard, 6) AS jaccard_r FROM near",
+    "near_duplicate_pairs": f"WITH {SHARED} SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard_r FROM share JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.9 * (x.n + y.n - c)",
     "family_components": f"""WITH RECURSIVE {JACCARD}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), walk AS (SELECT doc_id AS s, doc_id AS t FROM documents UNION SELECT w.s, e.b FROM walk w JOIN e ON e.a = w.t), c AS (SELECT s AS doc_id, min(t) AS component FROM walk GROUP BY s)
 SELECT doc_id, component, count(*) OVER (PARTITION BY component) AS size FROM c""",
     "hyperedge_families": f"""WITH RECURSIVE {SET}, o AS (SELECT DISTINCT o_custkey, fingerprint FROM sets JOIN orders ON o_orderkey = ctx), e AS (SELECT DISTINCT x.o_custkey AS a, y.o_custkey AS b FROM o x JOIN o y USING (fingerprint)), walk AS (SELECT DISTINCT o_custkey AS s, o_custkey AS t FROM o UNION SELECT w.s, e.b FROM walk w JOIN e ON e.a = w.t), c AS (SELECT s AS o_custkey, min(t) AS root FROM walk GROUP BY s) SELECT o_custkey, root, {PARTITION.format('root', 'root')} AS split FROM c""",

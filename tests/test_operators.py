@@ -85,6 +85,20 @@ def test_similar_pairs_ship_no_whole_sets_but_those_of_near_ones(spark):
     assert dict(tables)["token-heads"].agg({"n": "max"}).first()[0] == 601 and max(len(r.t) for r in dict(tables)["token-heads"].collect()) <= 62
 
 
+def test_all_similar_pairs(spark, monkeypatch):
+    """Pairs of copies, and of copies of one set with copies of another, in parts of a few: each once."""
+    monkeypatch.setattr(neardup, "COPIES", 3)
+    rnd = random.Random(6)
+    base = rnd.sample(WORDS, 20)
+    texts = [base] * 14 + [base[::-1] * 2] * 3 + [base + ["other"]] * 9 + [base[:19]] + [base[1:]] * 2 + [base[:18]] + [rnd.sample(WORDS, 20) for _ in range(5)] + [[]] * 2
+    rnd.shuffle(texts)
+    rows = [(7 * i % 101, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(t.split()) for i, t in rows if t}
+    want = sorted((a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b]))
+    df = neardup.token_sets(spark.createDataFrame(rows + [(200, None)], "doc_id long, text string"), "doc_id", "text")
+    assert sorted((r.a, r.b, round(r.jaccard, 9)) for r in neardup.all_similar_pairs(df, 0.9).collect()) == want
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", i, r) for r, i in enumerate("abcdef", 1)], "q string, i string, rank int")
     got = rank.metrics(ranked, spark.createDataFrame([("q", "b"), ("q", "d"), ("z", "a")], "q string, i string"), "q", "i", 3).collect()

@@ -87,6 +87,15 @@ def test_minhash_candidates(spark):
     assert set(got) <= set(near) and all(abs(near[k] - v) < 1e-6 for k, v in got.items()) and {x for p in near for x in p} == {x for p in got for x in p}
 
 
+def test_near_duplicate_pairs_are_all(spark):
+    """Every pair that meets the bound, copies among themselves too, against brute force."""
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    sets = {i: w for i, t in zip(docs.doc_id, docs.text) if (w := set(re.findall("[a-z0-9À-ɏ]+", t.lower())))}
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
+    rows = catalog.QUERIES["near_duplicate_pairs"](spark, SMALL).collect()
+    assert len(rows) == len(near) and {(r.a, r.b): r.jaccard_r for r in rows} == pytest.approx(near, abs=1e-6)
+
+
 def test_candidate_counts_of_every_order(spark):
     """Orders with one commander against a plain count; no order is passed over for its key."""
     lines, part = pd.read_parquet(f"{SMALL}/lineitem.parquet"), pd.read_parquet(f"{SMALL}/part.parquet")
